@@ -4,57 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Elements folded before the output is set aside. A fold copies its output each
 # time it grows; folding in runs keeps that copying to CHUNK elements a step.
 CHUNK = 128
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def literal(text: str) -> str:
+    """A string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
 
 
-def empty(element: str) -> Column:
-    return F.array().cast(f"array<{element}>")
+def literal_map(values: dict) -> str:
+    pairs = ", ".join(
+        f"{literal(k)}, {literal(v) if isinstance(v, str) else v}" for k, v in values.items()
+    )
+    return f"map({pairs})"
+
+
+def empty(element: str) -> str:
+    return f"cast(array() AS array<{element}>)"
 
 
 def running(
-    items: Column,
-    zero: Column,
-    advance: Callable[[Column, Column], Column],
-    emit: Callable[[Column, Column], Column],
+    items: str,
+    zero: str,
+    advance: Callable[[str, str], str],
+    emit: Callable[[str, str], str],
     element: str,
-) -> Column:
+) -> str:
     """Walk ``items`` in order with a running state and gather what is emitted.
 
     ``advance(state, item)`` gives the next state, ``emit(state, item)`` an array
     with the output for ``item`` under the state before it. ``element`` is the
     output element type."""
-
-    def one(acc, item):
-        return F.struct(
-            advance(acc["state"], item).alias("state"),
-            F.concat(acc["out"], emit(acc["state"], item)).alias("out"),
-        )
-
-    def one_chunk(acc, chunk):
-        return let(
-            F.aggregate(chunk, F.struct(acc["state"].alias("state"), empty(element).alias("out")), one),
-            lambda r: F.struct(
-                r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")
-            ),
-        )
-
-    def walk(all_items):
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / CHUNK).cast("int")),
-            lambda c: F.slice(all_items, c * CHUNK + 1, F.lit(CHUNK)),
-        )
-        start = F.struct(zero.alias("state"), empty(f"array<{element}>").alias("out"))
-        walked = F.aggregate(chunks, start, one_chunk, lambda acc: F.flatten(acc["out"]))
-        return F.when(F.size(all_items) > 0, walked).otherwise(empty(element))
-
-    return let(items, walk)
+    one = (
+        f"(acc, item) -> named_struct('state', {advance('acc.state', 'item')}, "
+        f"'out', concat(acc.out, {emit('acc.state', 'item')}))"
+    )
+    one_chunk = let(
+        "part",
+        f"aggregate(chunk, named_struct('state', whole.state, 'out', {empty(element)}), {one})",
+        "named_struct('state', part.state, 'out', concat(whole.out, array(part.out)))",
+    )
+    chunks = (
+        f"transform(sequence(0, cast(floor((size(items) - 1) / {CHUNK}) AS int)), "
+        f"c -> slice(items, c * {CHUNK} + 1, {CHUNK}))"
+    )
+    start = f"named_struct('state', {zero}, 'out', {empty(f'array<{element}>')})"
+    walked = (
+        f"aggregate({chunks}, {start}, (whole, chunk) -> {one_chunk}, whole -> flatten(whole.out))"
+    )
+    return let(
+        "items", items, f"CASE WHEN size(items) > 0 THEN {walked} ELSE {empty(element)} END"
+    )

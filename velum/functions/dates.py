@@ -4,147 +4,131 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from velum.functions.arrays import let
 from velum.functions.patterns import ASCII_DIGITS, DATE_SEPARATOR, OTHER_DIGITS
 from velum.labels import MONTHS
 
 
-def normalise_months(text: Column) -> Column:
+def normalise_months(text: str) -> str:
     """Month names and abbreviations as two digits."""
     for name, number in MONTHS:
-        text = F.replace(text, F.lit(name), F.lit(number))
+        text = f"replace({text}, '{name}', '{number}')"
     return text
 
 
-def parse_date(text: Column, reference_date: dt.date) -> Column:
+def parse_date(text: str, reference_date: dt.date) -> str:
     """Read a date candidate leniently, day first, as ``struct<year,month,day>``;
     NULL when it is no date.
 
     Fields the text lacks come from ``reference_date``, which also decides the
     century of a two-digit year. Never read the wall clock in a task: a retried
     task could then give another answer than the first one."""
-    ascii_text = F.translate(text, OTHER_DIGITS, ASCII_DIGITS)
+    ascii_text = (
+        f"CASE WHEN {text} RLIKE '[^\\\\x00-\\\\x7f]' "
+        f"THEN translate({text}, '{OTHER_DIGITS}', '{ASCII_DIGITS}') ELSE {text} END"
+    )
+    parts = f"named_struct('part', split(t, r'{DATE_SEPARATOR}'), 'seps', regexp_replace(t, '[0-9]', ''))"
     return let(
+        "t",
         normalise_months(ascii_text),
-        lambda t: let(
-            F.struct(
-                F.split(t, DATE_SEPARATOR).alias("part"),
-                F.regexp_replace(t, "[0-9]", "").alias("seps"),
-            ),
-            lambda s: let(_values(s["part"], s["seps"]), lambda v: _assign(v, reference_date)),
-        ),
+        let("cut", parts, let("v", _values("cut.part", "cut.seps"), _assign("v", reference_date))),
     )
 
 
-def _number(part: Column) -> Column:
-    return part.try_cast("int")
+def _number(part: str) -> str:
+    return f"try_cast({part} AS int)"
 
 
-def _digits(part: Column) -> Column:
+def _digits(part: str) -> str:
     """A part read as digits: more than two of them must be a year."""
-    return F.struct(_number(part).alias("v"), (F.length(part) > 2).alias("big"))
+    return f"named_struct('v', {_number(part)}, 'big', length({part}) > 2)"
 
 
-def _quantity(part: Column) -> Column:
+def _quantity(part: str) -> str:
     """A part read as a number: more than 100 must be a year."""
-    return F.struct(_number(part).alias("v"), (_number(part) > 100).alias("big"))
+    return f"named_struct('v', {_number(part)}, 'big', {_number(part)} > 100)"
 
 
-def _decimal(whole: Column, fraction: Column) -> Column:
+def _decimal(whole: str, fraction: str) -> str:
     """Two parts around a dot read as one number, whose fraction is dropped."""
     w, f = _number(whole), _number(fraction)
-    return F.struct(w.alias("v"), ((w > 100) | ((w == 100) & (f > 0))).alias("big"))
+    return f"named_struct('v', {w}, 'big', {w} > 100 OR ({w} = 100 AND {f} > 0))"
 
 
-def _is_decimal(whole: Column, fraction: Column) -> Column:
+def _is_decimal(whole: str, fraction: str) -> str:
     """Six or eight characters would be read as a packed time instead."""
-    return ~(F.length(whole) + F.length(fraction) + 1).isin(6, 8)
+    return f"length({whole}) + length({fraction}) + 1 NOT IN (6, 8)"
 
 
-def _values(part: Column, seps: Column) -> Column:
+def _values(part: str, seps: str) -> str:
     """The numbers of a candidate, by the separators between them; NULL when the
     combination has no reading."""
-    a, b, c = (F.get(part, F.lit(i)) for i in range(3))
+    a, b, c = (f"get({part}, {i})" for i in range(3))
+    return f"""CASE
+        WHEN {seps} IN ('-', '/') THEN array({_digits(a)}, {_digits(b)})
+        WHEN {seps} IN ('--', '//', '..') THEN array({_digits(a)}, {_digits(b)}, {_digits(c)})
+        WHEN {seps} = ' ' THEN array({_quantity(a)}, {_quantity(b)})
+        WHEN {seps} = '  ' THEN array({_quantity(a)}, {_quantity(b)}, {_quantity(c)})
+        WHEN {seps} = '.' AND {_is_decimal(a, b)} THEN array({_decimal(a, b)})
+        WHEN {seps} IN ('-/', '/-', '- ', '/ ')
+            THEN array({_digits(a)}, {_digits(b)}, {_quantity(c)})
+        WHEN {seps} IN (' -', ' /') THEN array({_quantity(a)}, {_digits(b)}, {_digits(c)})
+        WHEN {seps} = '. ' AND {_is_decimal(a, b)} THEN array({_decimal(a, b)}, {_quantity(c)})
+        WHEN {seps} = ' .' AND {_is_decimal(b, c)} THEN array({_quantity(a)}, {_decimal(b, c)})
+    END"""
+
+
+def _ymd(year: str, month: str, day: str) -> str:
     return (
-        F.when(seps.isin("-", "/"), F.array(_digits(a), _digits(b)))
-        .when(seps.isin("--", "//", ".."), F.array(_digits(a), _digits(b), _digits(c)))
-        .when(seps == " ", F.array(_quantity(a), _quantity(b)))
-        .when(seps == "  ", F.array(_quantity(a), _quantity(b), _quantity(c)))
-        .when((seps == ".") & _is_decimal(a, b), F.array(_decimal(a, b)))
-        .when(seps.isin("-/", "/-", "- ", "/ "), F.array(_digits(a), _digits(b), _quantity(c)))
-        .when(seps.isin(" -", " /"), F.array(_quantity(a), _digits(b), _digits(c)))
-        .when((seps == ". ") & _is_decimal(a, b), F.array(_decimal(a, b), _quantity(c)))
-        .when((seps == " .") & _is_decimal(b, c), F.array(_quantity(a), _decimal(b, c)))
+        f"named_struct('year', cast({year} AS int), 'month', cast({month} AS int), "
+        f"'day', cast({day} AS int))"
     )
 
 
-def _assign(values: Column, reference: dt.date) -> Column:
+def _assign(values: str, reference: dt.date) -> str:
     """Decide which number is the year, the month and the day."""
-    first, second, third = (F.get(values, F.lit(i)) for i in range(3))
-    p, q, r = first["v"], second["v"], third["v"]
-    none = F.lit(None).cast("int")
-    n_big = F.size(F.filter(values, lambda x: x["big"]))
-    count = F.size(values)
-
-    def ymd(year, month, day):
-        return F.struct(year.alias("year"), month.alias("month"), day.alias("day"))
-
-    fields = (
-        F.when((count == 1) & (p > 31), ymd(p, none, none))
-        .when(count == 1, ymd(none, none, p))
-        .when((count == 2) & (p > 31), ymd(p, q, none))
-        .when((count == 2) & (q > 31), ymd(q, p, none))
-        .when((count == 2) & (q <= 12), ymd(none, q, p))
-        .when(count == 2, ymd(none, p, q))
-        .when(((p > 31) | first["big"]) & (r <= 12), ymd(p, r, q))
-        .when((p > 31) | first["big"], ymd(p, q, r))
-        .when((p > 12) | (q <= 12), ymd(r, q, p))
-        .otherwise(ymd(r, p, q))
-    )
-    century = reference.year // 100 * 100
-    readable = values.isNotNull() & (n_big <= 1)
-    return F.when(
-        readable,
-        let(fields, lambda f: _complete(f, n_big > 0, century, reference)),
+    p, q, r = (f"get({values}, {i}).v" for i in range(3))
+    year_first = f"({p} > 31 OR get({values}, 0).big)"
+    n_big = f"size(filter({values}, x -> x.big))"
+    fields = f"""CASE size({values})
+        WHEN 1 THEN CASE WHEN {p} > 31 THEN {_ymd(p, 'NULL', 'NULL')}
+            ELSE {_ymd('NULL', 'NULL', p)} END
+        WHEN 2 THEN CASE WHEN {p} > 31 THEN {_ymd(p, q, 'NULL')}
+            WHEN {q} > 31 THEN {_ymd(q, p, 'NULL')}
+            WHEN {q} <= 12 THEN {_ymd('NULL', q, p)}
+            ELSE {_ymd('NULL', p, q)} END
+        ELSE CASE WHEN {year_first} AND {r} <= 12 THEN {_ymd(p, r, q)}
+            WHEN {year_first} THEN {_ymd(p, q, r)}
+            WHEN {p} > 12 OR {q} <= 12 THEN {_ymd(r, q, p)}
+            ELSE {_ymd(r, p, q)} END
+    END"""
+    completed = let("f", fields, _complete("f", f"{n_big} > 0", reference))
+    return f"CASE WHEN {values} IS NOT NULL AND {n_big} <= 1 THEN {completed} END"
+
+
+def _complete(fields: str, has_big: str, reference: dt.date) -> str:
+    """Fill in century and missing fields and check that the day exists."""
+    given = f"{fields}.year"
+    near = f"{given} + {reference.year // 100 * 100}"
+    year = f"""CASE WHEN {given} IS NULL THEN {reference.year}
+        WHEN {given} >= 100 OR {has_big} THEN {given}
+        WHEN {near} >= {reference.year + 50} THEN {near} - 100
+        WHEN {near} < {reference.year - 50} THEN {near} + 100
+        ELSE {near} END"""
+    month = f"coalesce({fields}.month, {reference.month})"
+    last = """CASE WHEN m.month = 2 AND ((m.year % 4 = 0 AND m.year % 100 <> 0) OR m.year % 400 = 0)
+        THEN 29 WHEN m.month = 2 THEN 28 WHEN m.month IN (4, 6, 9, 11) THEN 30 ELSE 31 END"""
+    day = f"coalesce({fields}.day, least({reference.day}, {last}))"
+    return let(
+        "m",
+        f"named_struct('year', {year}, 'month', {month})",
+        f"""CASE WHEN m.year BETWEEN 1 AND 9999 AND m.month BETWEEN 1 AND 12
+            AND {day} BETWEEN 1 AND {last} THEN {_ymd('m.year', 'm.month', day)} END""",
     )
 
 
-def _complete(fields: Column, has_big: Column, century: int, reference: dt.date) -> Column:
-    """Fill in century and missing fields and check that the day exists."""
-    given = fields["year"]
-    near = given + century
-    year = (
-        F.when(given.isNull(), F.lit(reference.year))
-        .when((given >= 100) | has_big, given)
-        .when(near >= reference.year + 50, near - 100)
-        .when(near < reference.year - 50, near + 100)
-        .otherwise(near)
-    )
-    month = F.coalesce(fields["month"], F.lit(reference.month))
-
-    def check(f):
-        y, m = f["year"], f["month"]
-        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-        last = (
-            F.when((m == 2) & leap, 29)
-            .when(m == 2, 28)
-            .when(m.isin(4, 6, 9, 11), 30)
-            .otherwise(31)
-        )
-        day = F.coalesce(fields["day"], F.least(F.lit(reference.day), last))
-        return F.when(
-            y.between(1, 9999) & m.between(1, 12) & day.between(1, last),
-            F.struct(y.alias("year"), m.alias("month"), day.alias("day")),
-        )
-
-    return let(F.struct(year.alias("year"), month.alias("month")), check)
-
-
-def generalise(date: Column, level: str) -> Column:
+def generalise(date: str, level: str) -> str:
     """A parsed date as its year, or as month and year."""
     if level == "year":
-        return date["year"].cast("string")
-    return F.concat_ws("-", date["month"].cast("string"), date["year"].cast("string"))
+        return f"cast({date}.year AS string)"
+    return f"concat_ws('-', {date}.month, {date}.year)"

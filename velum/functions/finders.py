@@ -1,12 +1,9 @@
-"""Span finders: text column -> array of spans, inside one row, without Python."""
+"""Span finders: text -> array of spans, inside one row, without Python."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from velum.functions import patterns as P
 from velum.functions.arrays import empty, running
 from velum.functions.dates import parse_date
@@ -18,90 +15,82 @@ SPAN = (
 )
 
 
-def find_all(
-    text: Column, pattern: str, gate: Column | None = None, exact: bool = False
-) -> Column:
+def matches(text: str, pattern: str) -> str:
+    return f"{text} RLIKE r'{pattern}'"
+
+
+def find_all(text: str, pattern: str, gate: str | None = None, exact: bool = False) -> str:
     """All matches of a JVM ``pattern``, left to right, with code-point offsets.
 
     A row that fails ``gate`` or does not match at all is done without building
     anything; an ``exact`` gate holds for just the rows with a match. In the others
     each match is taken once with the gap before it, which gives the length to move
     on, and once alone."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    steps = F.regexp_extract_all(text, F.lit(rf"\G((?s:.*?))(?:{pattern})"), F.lit(0))
-    items = F.zip_with(
-        hits, steps, lambda h, s: F.struct(h.alias("text"), F.length(s).alias("step"))
+    hits = f"regexp_extract_all({text}, r'({pattern})', 1)"
+    steps = rf"regexp_extract_all({text}, r'\G((?s:.*?))(?:{pattern})', 0)"
+    items = f"zip_with({hits}, {steps}, (h, s) -> named_struct('text', h, 'step', length(s)))"
+    found = running(
+        items,
+        "0",
+        lambda at, item: f"{at} + {item}.step",
+        lambda at, item: f"array(named_struct('start', {at} + {item}.step - length({item}.text), "
+        f"'end', {at} + {item}.step, 'text', {item}.text))",
+        HIT,
     )
-
-    def emit(at, item):
-        end = at + item["step"]
-        return F.array(
-            F.struct(
-                (end - F.length(item["text"])).alias("start"),
-                end.alias("end"),
-                item["text"].alias("text"),
-            )
-        )
-
-    found = running(items, F.lit(0), lambda at, item: at + item["step"], emit, HIT)
     if gate is None:
-        gate, exact = text.rlike(pattern), True
-    matches = gate if exact else gate & text.rlike(pattern)
-    return F.when(matches, found).otherwise(empty(HIT))
+        gate, exact = matches(text, pattern), True
+    condition = gate if exact else f"{gate} AND {matches(text, pattern)}"
+    return f"CASE WHEN {condition} THEN {found} ELSE {empty(HIT)} END"
 
 
-def find_telephone(text: Column) -> Column:
+def _reshape(hits: str, start: str, end: str, text: str) -> str:
+    return (
+        f"transform({hits}, h -> named_struct('start', {start}, 'end', {end}, 'text', {text}))"
+    )
+
+
+def find_telephone(text: str) -> str:
     return find_all(text, P.JVM_TELEPHONE)
 
 
-def find_zipcode(text: Column) -> Column:
+def find_zipcode(text: str) -> str:
     """Five digits between two other characters, which belong to the match but not
     to the span."""
-    return F.transform(
-        find_all(text, P.JVM_ZIP_CODE, text.rlike(P.GATE_ZIP_CODE)),
-        lambda h: F.struct(
-            (h["start"] + 1).alias("start"),
-            (h["end"] - 1).alias("end"),
-            F.substring(h["text"], 2, 5).alias("text"),
-        ),
-    )
+    hits = find_all(text, P.JVM_ZIP_CODE, matches(text, P.GATE_ZIP_CODE))
+    return _reshape(hits, "h.start + 1", "h.`end` - 1", "substring(h.text, 2, 5)")
 
 
-def find_email(text: Column) -> Column:
-    gate = F.contains(text, F.lit("@")) & text.rlike(P.GATE_EMAIL)
+def find_email(text: str) -> str:
+    gate = f"contains({text}, '@') AND {matches(text, P.GATE_EMAIL)}"
     return find_all(text, P.JVM_EMAIL, gate, exact=True)
 
 
-def find_fiscal_code(text: Column) -> Column:
+def find_fiscal_code(text: str) -> str:
     return find_all(text, P.JVM_FISCAL_CODE)
 
 
-def find_age(text: Column) -> Column:
-    return _lower_text(find_all(text, P.JVM_AGE, text.rlike(P.GATE_AGE)))
+def find_age(text: str) -> str:
+    return _lower_text(find_all(text, P.JVM_AGE, matches(text, P.GATE_AGE)))
 
 
-def find_date_candidates(text: Column) -> Column:
-    return _lower_text(find_all(text, P.JVM_DATE, text.rlike(P.GATE_DATE)))
+def find_date_candidates(text: str) -> str:
+    return _lower_text(find_all(text, P.JVM_DATE, matches(text, P.GATE_DATE)))
 
 
-def find_dates(text: Column, reference_date) -> Column:
+def find_dates(text: str, reference_date) -> str:
     """Candidates that can be read as a day-first date."""
-    return F.filter(
-        find_date_candidates(text), lambda h: parse_date(h["text"], reference_date).isNotNull()
+    return (
+        f"filter({find_date_candidates(text)}, "
+        f"h -> {parse_date('h.text', reference_date)} IS NOT NULL)"
     )
 
 
-def _lower_text(hits: Column) -> Column:
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            h["start"].alias("start"), h["end"].alias("end"), F.lower(h["text"]).alias("text")
-        ),
-    )
+def _lower_text(hits: str) -> str:
+    return _reshape(hits, "h.start", "h.`end`", "lower(h.text)")
 
 
-# Entity -> finder; each takes the text column and the reference date.
-FINDERS: dict[str, Callable[[Column, object], Column]] = {
+# Entity -> finder; each takes the text and the reference date.
+FINDERS: dict[str, Callable[[str, object], str]] = {
     "telephone": lambda text, _: find_telephone(text),
     "zipcode": lambda text, _: find_zipcode(text),
     "email": lambda text, _: find_email(text),
@@ -111,23 +100,16 @@ FINDERS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
-def as_spans(hits: Column, entity: str) -> Column:
+def as_spans(hits: str, entity: str) -> str:
     """Give the hits of one finder their label, rank and position."""
-    return F.transform(
-        hits,
-        lambda h, i: F.struct(
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.lit(PATTERN_RANK[entity]).alias("rank"),
-            i.alias("seq"),
-            F.lit(OUTPUT_LABEL[entity]).alias("entity_type"),
-            h["text"].alias("text"),
-            F.lit("regex").alias("model"),
-        ),
+    return (
+        f"transform({hits}, (h, i) -> named_struct('start', h.start, 'end', h.`end`, "
+        f"'rank', {PATTERN_RANK[entity]}, 'seq', i, 'entity_type', '{OUTPUT_LABEL[entity]}', "
+        "'text', h.text, 'model', 'regex'))"
     )
 
 
-def pattern_spans(text: Column, entities: list[str], reference_date) -> Column:
+def pattern_spans(text: str, entities: list[str], reference_date) -> str:
     """Spans of the given entities in one array; duplicates are kept."""
     found = [as_spans(FINDERS[e](text, reference_date), e) for e in entities]
-    return F.concat(*found) if found else empty(SPAN)
+    return f"concat({', '.join(found)})" if found else empty(SPAN)

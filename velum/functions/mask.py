@@ -4,97 +4,80 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from velum.config import check_date_level, check_mode
-from velum.functions.arrays import let
+from velum.functions.arrays import let, literal
 from velum.functions.dates import generalise, parse_date
 
 # Code points per block of a long text.
 BLOCK = 1024
 
 
-def token(
-    entity_type: Column,
-    start: Column,
-    end: Column,
-    mode: str,
-    special_character: str,
-) -> Column:
+def token(span: str, mode: str, special_character: str) -> str:
     """What replaces one span."""
     check_mode(mode)
-    length = end - start
-    fill = F.lit(special_character)
+    length = f"({span}.`end` - {span}.start)"
+    fill = literal(special_character)
     if mode == "anon":
-        return F.repeat(fill, F.when(length > 0, 3).otherwise(0))
+        return f"repeat({fill}, CASE WHEN {length} > 0 THEN 3 ELSE 0 END)"
     if mode == "anon_l":
-        return F.repeat(fill, length)
-    tag = F.concat(F.lit("<"), entity_type, F.lit(">"))
+        return f"repeat({fill}, {length})"
+    tag = f"concat('<', {span}.entity_type, '>')"
     if mode == "tag":
         return tag
-    return F.concat(tag, F.repeat(fill, F.greatest(F.lit(0), length - F.length(tag))))
+    return f"concat({tag}, repeat({fill}, greatest(0, {length} - length({tag}))))"
 
 
 def mask(
-    text: Column,
-    kept: Column,
+    text: str,
+    kept: str,
     mode: str = "tag",
     special_character: str = "*",
     date_level: str = "hide",
     reference_date: dt.date | None = None,
-) -> Column:
+) -> str:
     """Replace ``kept`` spans, which are ordered and free of overlap, in ``text``.
 
     With a date level other than ``hide``, spans labelled ``DATA`` become a year or
     a month and year in every mode."""
     check_date_level(date_level)
-    if date_level != "hide" and reference_date is None:
-        raise ValueError("a date level needs a reference_date")
-
-    def replacement(span):
-        plain = token(span["entity_type"], span["start"], span["end"], mode, special_character)
-        if date_level == "hide":
-            return plain
+    replacement = token("x", mode, special_character)
+    if date_level != "hide":
+        if reference_date is None:
+            raise ValueError("a date level needs a reference_date")
         shown = let(
-            parse_date(F.lower(span["text"]), reference_date),
-            lambda d: F.when(d.isNotNull(), generalise(d, date_level)),
+            "d",
+            parse_date("lower(x.text)", reference_date),
+            f"CASE WHEN d IS NOT NULL THEN {generalise('d', date_level)} END",
         )
-        return F.when(span["entity_type"] == "DATA", F.coalesce(shown, plain)).otherwise(plain)
-
-    def build(piece):
-        last = F.get(kept, F.size(kept) - 1)
-        pieces = F.transform(
-            kept,
-            lambda x, i: F.concat(
-                piece(
-                    F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(F.lit(0)),
-                    x["start"],
-                ),
-                replacement(x),
-            ),
+        replacement = (
+            f"CASE WHEN x.entity_type = 'DATA' THEN coalesce({shown}, {replacement}) "
+            f"ELSE {replacement} END"
         )
-        return F.concat(F.array_join(pieces, ""), piece(last["end"], F.length(text)))
-
-    def from_text(start, end):
-        return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
-    def in_blocks(blocks):
-        def piece(start, end):
-            first = F.floor(start / BLOCK).cast("int")
-            length = F.greatest(end - start, F.lit(0))
-            part = F.array_join(
-                F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), ""
-            )
-            return F.when(length > 0, F.substring(part, start - first * BLOCK + 1, length)).otherwise("")
+    # A substring counts code points from the start of its string, so the pieces of
+    # a long text are cut from the few blocks they lie in. A short text is one block.
+    blocks = (
+        f"CASE WHEN length({text}) <= {BLOCK} THEN array({text}) "
+        f"ELSE regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0) END"
+    )
 
-        return build(piece)
+    def piece(start, end):
+        first = f"cast(floor({start} / {BLOCK}) AS int)"
+        n_blocks = f"cast(floor({end} / {BLOCK}) AS int) - {first} + 1"
+        around = f"array_join(slice(blocks, {first} + 1, {n_blocks}), '')"
+        return (
+            f"CASE WHEN {end} > {start} THEN "
+            f"substring({around}, {start} - {first} * {BLOCK} + 1, {end} - {start}) ELSE '' END"
+        )
 
-    # A substring counts code points from the start of the text, so many pieces of
-    # a long text are cut from blocks instead.
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    return (
-        F.when(F.size(kept) == 0, text)
-        .when(F.length(text) <= 4 * BLOCK, build(from_text))
-        .otherwise(let(blocks, in_blocks))
+    before = piece("(CASE WHEN i > 0 THEN get(kept_spans, i - 1).`end` ELSE 0 END)", "x.start")
+    after = piece("element_at(kept_spans, -1).`end`", f"length({text})")
+    masked = let(
+        "blocks",
+        blocks,
+        f"concat(array_join(transform(kept_spans, (x, i) -> concat({before}, {replacement})), ''), "
+        f"{after})",
+    )
+    return let(
+        "kept_spans", kept, f"CASE WHEN size(kept_spans) = 0 THEN {text} ELSE {masked} END"
     )

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from velum.functions.arrays import running
 from velum.functions.finders import SPAN
 
 
-def resolve(spans: Column, touching: str = "drop", element: str = SPAN) -> Column:
+def resolve(spans: str, touching: str = "drop", element: str = SPAN) -> str:
     """Keep spans greedily in order of (start, end, rank, seq): the first one, then
     each that starts after the end of all kept ones.
 
@@ -18,15 +15,15 @@ def resolve(spans: Column, touching: str = "drop", element: str = SPAN) -> Colum
     ``start, end, rank, seq``."""
     if touching not in ("drop", "keep"):
         raise ValueError("touching must be 'drop' or 'keep'")
+    clear = ">" if touching == "drop" else ">="
 
     def keeps(last_end, span):
-        clear = span["start"] > last_end if touching == "drop" else span["start"] >= last_end
-        return last_end.isNull() | clear
+        return f"({last_end} IS NULL OR {span}.start {clear} {last_end})"
 
     return running(
-        F.array_sort(spans),
-        F.lit(None).cast("int"),
-        lambda last, x: F.when(keeps(last, x), F.greatest(last, x["end"])).otherwise(last),
-        lambda last, x: F.filter(F.array(x), lambda y: keeps(last, y)),
+        f"array_sort({spans})",
+        "cast(NULL AS int)",
+        lambda last, x: f"CASE WHEN {keeps(last, x)} THEN greatest({last}, {x}.`end`) ELSE {last} END",
+        lambda last, x: f"filter(array({x}), y -> {keeps(last, 'y')})",
         element,
     )

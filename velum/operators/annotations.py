@@ -6,10 +6,9 @@ other conventions are converted where files are read and written."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from velum.functions.arrays import running
+from velum.functions.arrays import empty, literal, literal_map, running
 from velum.functions.finders import find_all
 from velum.functions.mask import mask
 from velum.functions.patterns import INLINE_TAG
@@ -30,166 +29,139 @@ MIN_CHUNK = 45
 YEAR_EXCESS = 2
 
 
-def inline_spans(text: Column) -> Column:
+def inline_spans(text: str) -> str:
     """Gold spans of a text in which each sensitive passage was replaced by
     ``<TYPE>`` and ``#`` up to its length, as positions in the original text."""
 
     def kind(item):
-        return F.regexp_extract(item["text"], "^<([^<>]*)>", 1)
+        return f"regexp_extract({item}.text, '^<([^<>]*)>', 1)"
 
     def years_after(years, item):
-        return years + F.when(kind(item) == "YEAR", 1).otherwise(0)
+        return f"{years} + CASE WHEN {kind(item)} = 'YEAR' THEN 1 ELSE 0 END"
 
     return running(
         find_all(text, INLINE_TAG),
-        F.lit(0),
+        "0",
         years_after,
-        lambda years, item: F.array(
-            F.struct(
-                (item["start"] - YEAR_EXCESS * years).alias("start"),
-                (item["end"] - YEAR_EXCESS * years_after(years, item)).alias("end"),
-                kind(item).alias("entity_type"),
-            )
-        ),
+        lambda years, item: f"array(named_struct("
+        f"'start', {item}.start - {YEAR_EXCESS} * {years}, "
+        f"'end', {item}.`end` - {YEAR_EXCESS} * ({years_after(years, item)}), "
+        f"'entity_type', {kind(item)}))",
         TAGGED,
     )
 
 
 def gold_from_inline_tags(tagged: DataFrame) -> DataFrame:
-    return tagged.select("doc_id", F.inline(inline_spans(F.col("text"))))
+    return tagged.selectExpr("doc_id", f"inline({inline_spans('text')})")
 
 
 def split_corpus(corpus: DataFrame, marker: str = CORPUS_MARKER) -> DataFrame:
     """Raw corpus texts cut into documents at ``marker``, numbered within each corpus
     and put between the dummy first and last sentence."""
-    collapsed = F.replace(F.col("text"), F.lit("\n\n"), F.lit("\n"))
-    chunks = F.filter(
-        F.split(collapsed, f"\\Q{marker}\\E", -1), lambda c: F.length(c) > MIN_CHUNK
+    chunks = (
+        r"filter(split(replace(text, '\n\n', '\n'), "
+        + literal(f"\\Q{marker}\\E")
+        + f", -1), c -> length(c) > {MIN_CHUNK})"
     )
-    return corpus.select("corpus_id", F.posexplode(chunks).alias("doc_index", "chunk")).select(
+    return corpus.selectExpr("corpus_id", f"posexplode({chunks}) AS (doc_index, chunk)").selectExpr(
         "corpus_id",
         "doc_index",
-        F.concat(F.lit(CORPUS_HEADER), "chunk", F.lit(CORPUS_FOOTER)).alias("text"),
+        f"concat({literal(CORPUS_HEADER)}, chunk, {literal(CORPUS_FOOTER)}) AS text",
     )
 
 
-def sentences(text: Column, sep: str = " ") -> Column:
+def sentences(text: str, sep: str = " ") -> str:
     """Sentences of a token/BIO text, each an array of tokens with offsets in the
     sentence text, which is its words joined by blanks.
 
     A blank line ends a sentence; what follows the last one is not a sentence."""
     if sep not in SEPARATORS:
         raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
-    segments = F.split(text, r"(?<![^\n])\n", -1)
-    complete = F.slice(segments, F.lit(1), F.size(segments) - 1)
-    return F.transform(complete, lambda s: _tokens(s, sep))
-
-
-def _tokens(segment: Column, sep: str) -> Column:
-    lines = F.split(F.regexp_replace(segment, r"\n\z", ""), "\n", -1)
-    parts = F.transform(lines, lambda line: F.split(line, sep, -1))
-    return F.when(segment == "", F.array().cast(f"array<{TOKEN}>")).otherwise(
-        running(
-            F.transform(
-                parts,
-                lambda p, i: F.struct(
-                    i.alias("pos"),
-                    F.get(p, F.lit(0)).alias("word"),
-                    F.get(p, F.lit(1)).alias("tag"),
-                ),
-            ),
-            F.lit(0),
-            lambda at, t: at + F.length(t["word"]) + 1,
-            lambda at, t: F.array(
-                F.struct(
-                    t["pos"],
-                    t["word"],
-                    t["tag"],
-                    at.alias("start"),
-                    (at + F.length(t["word"])).alias("end"),
-                )
-            ),
-            TOKEN,
-        )
+    segments = rf"split({text}, r'(?<![^\n])\n', -1)"
+    complete = f"transform(array({segments}), s -> slice(s, 1, size(s) - 1))[0]"
+    return f"transform({complete}, segment -> {_tokens('segment', sep)})"
+
+
+def _tokens(segment: str, sep: str) -> str:
+    lines = rf"split(regexp_replace({segment}, r'\n\z', ''), r'\n', -1)"
+    fields = (
+        f"transform(transform({lines}, line -> split(line, '{sep}', -1)), "
+        "(p, i) -> named_struct('pos', i, 'word', get(p, 0), 'tag', get(p, 1)))"
     )
+    placed = running(
+        fields,
+        "0",
+        lambda at, t: f"{at} + length({t}.word) + 1",
+        lambda at, t: f"array(named_struct('pos', {t}.pos, 'word', {t}.word, 'tag', {t}.tag, "
+        f"'start', {at}, 'end', {at} + length({t}.word)))",
+        TOKEN,
+    )
+    return f"CASE WHEN {segment} = '' THEN {empty(TOKEN)} ELSE {placed} END"
 
 
-def sentence_text(tokens: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda t: t["word"]), " ")
+def sentence_text(tokens: str) -> str:
+    return f"array_join(transform({tokens}, t -> t.word), ' ')"
 
 
-def labelled(tokens: Column) -> Column:
+def labelled(tokens: str) -> str:
     """Tokens that are not outside of every entity."""
-    return F.filter(tokens, lambda t: ~t["tag"].eqNullSafe("O"))
+    return f"filter({tokens}, t -> NOT (t.tag <=> 'O'))"
 
 
 def token_rows(documents: DataFrame, sep: str = " ") -> DataFrame:
     """One row per token: ``doc_id, sent_id, pos, word, tag, start, end``."""
-    return (
-        documents.select(
-            "doc_id", F.posexplode(sentences(F.col("text"), sep)).alias("sent_id", "tokens")
-        )
-        .select("doc_id", "sent_id", F.inline("tokens"))
-    )
+    return documents.selectExpr(
+        "doc_id", f"posexplode({sentences('text', sep)}) AS (sent_id, tokens)"
+    ).selectExpr("doc_id", "sent_id", "inline(tokens)")
 
 
 def sentence_records(documents: DataFrame, sep: str = " ") -> DataFrame:
     """One row per document with its records: sentence text and labelled tokens."""
-    return documents.select("doc_id", sentences(F.col("text"), sep).alias("sents")).select(
+    labels = (
+        f"transform({labelled('s')}, "
+        "t -> named_struct('start', t.start, 'end', t.`end`, 'tag', t.tag))"
+    )
+    return documents.selectExpr("doc_id", f"{sentences('text', sep)} AS sents").selectExpr(
         "doc_id",
-        F.transform(
-            "sents",
-            lambda s: F.struct(
-                sentence_text(s).alias("text"),
-                F.transform(
-                    labelled(s), lambda t: F.struct(t["start"], t["end"], t["tag"])
-                ).alias("labels"),
-            ),
-        ).alias("records"),
+        f"transform(sents, s -> named_struct('text', {sentence_text('s')}, 'labels', {labels})) "
+        "AS records",
     )
 
 
-def bio_runs(labels: Column, keep: tuple[str, ...] = BIO_KEEP) -> Column:
+def bio_runs(labels: str, keep: tuple[str, ...] = BIO_KEEP) -> str:
     """Gold spans of labelled tokens: a ``B-`` token and the ``I-`` tokens of its type
     that follow it without a gap. ``I-`` tokens without a ``B-`` vanish.
 
     The tokens are walked backwards, with the run of ``I-`` tokens that starts next
     as the state."""
-    mapped = F.create_map(*[F.lit(v) for pair in BIO_LABEL.items() for v in pair])
 
-    def kind(t):
-        return F.get(F.split(t["tag"], "-"), F.lit(1))
+    def label(t):
+        return f"try_element_at({literal_map(BIO_LABEL)}, {t}.tag)"
 
-    def opens(t):
-        return F.try_element_at(mapped, t["tag"]).isNotNull()
+    def kind(t):
+        return f"get(split({t}.tag, '-'), 1)"
 
     def run_end(run, t):
-        follows = (run["start"] == t["end"] + 1) & (run["kind"] == kind(t))
-        return F.when(follows, run["end"]).otherwise(t["end"])
+        follows = f"{run}.start = {t}.`end` + 1 AND {run}.kind = {kind(t)}"
+        return f"CASE WHEN {follows} THEN {run}.`end` ELSE {t}.`end` END"
 
     def advance(run, t):
-        grown = F.struct(
-            t["start"].alias("start"), run_end(run, t).alias("end"), kind(t).alias("kind")
-        )
-        return F.when(opens(t), run).otherwise(grown)
+        grown = f"named_struct('start', {t}.start, 'end', {run_end(run, t)}, 'kind', {kind(t)})"
+        return f"CASE WHEN {label(t)} IS NOT NULL THEN {run} ELSE {grown} END"
 
     def emit(run, t):
-        span = F.struct(
-            t["start"].alias("start"),
-            run_end(run, t).alias("end"),
-            F.lit(0).alias("rank"),
-            F.lit(0).alias("seq"),
-            t["tag"].alias("bio_label"),
-            F.try_element_at(mapped, t["tag"]).alias("entity_type"),
+        span = (
+            f"named_struct('start', {t}.start, 'end', {run_end(run, t)}, 'rank', 0, 'seq', 0, "
+            f"'bio_label', {t}.tag, 'entity_type', {label(t)})"
         )
-        return F.filter(F.array(span), lambda _: opens(t))
+        return f"filter(array({span}), g -> g.entity_type IS NOT NULL)"
 
-    nothing = F.lit(None).cast("struct<start:int,end:int,kind:string>")
-    kept = F.filter(labels, lambda t: t["tag"].isin(*keep))
-    return F.array_sort(running(F.reverse(kept), nothing, advance, emit, GOLD))
+    kept = f"filter({labels}, t -> t.tag IN ({', '.join(map(literal, keep))}))"
+    nothing = "cast(NULL AS struct<start:int,end:int,kind:string>)"
+    return f"array_sort({running(f'reverse({kept})', nothing, advance, emit, GOLD)})"
 
 
-def annotation_mask(text: Column, gold: Column) -> Column:
+def annotation_mask(text: str, gold: str) -> str:
     """Text with each gold span as its tag, filled with stars to the span's length.
     All offsets are those of the unmasked text."""
     return mask(text, resolve(gold, touching="keep", element=GOLD), "tag_l", "*")

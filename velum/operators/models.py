@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.config import DeidConfig
+from velum.functions.arrays import literal, literal_map
 from velum.labels import ENTITIES, MODEL_LABELS, MODEL_RANK, OUTPUT_LABEL
 
 ANNOTATION = "struct<start:int,end:int,label:string,text:string,model:string>"
@@ -45,7 +45,7 @@ def annotate(text: Column, factories: dict[str, Callable[[], Annotator]]) -> Col
     return F.pandas_udf(run, f"array<{ANNOTATION}>")(text)
 
 
-def _entity(label: Column, model: Column, config: DeidConfig) -> Column:
+def _entity(label: str, model: str, config: DeidConfig) -> str:
     """Entity of a raw model label if the configuration gives that entity to the
     model, else NULL."""
     routed = {
@@ -55,34 +55,20 @@ def _entity(label: Column, model: Column, config: DeidConfig) -> Column:
         if entity in served
     }
     if not routed:
-        return F.lit(None).cast("string")
-    return F.try_element_at(_literal_map(routed), F.concat_ws("/", model, label))
+        return "cast(NULL AS string)"
+    return f"try_element_at({literal_map(routed)}, concat_ws('/', {model}, {label}))"
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(v) for v in chain.from_iterable(values.items())])
-
-
-def intake(annotations: Column, config: DeidConfig) -> Column:
+def intake(annotations: str, config: DeidConfig) -> str:
     """Annotations of one row as spans: labels harmonised, entities selected, ranked.
     A model's position among the annotations is kept as ``seq``."""
-
-    def as_span(a, i):
-        return F.struct(
-            a["start"].alias("start"),
-            a["end"].alias("end"),
-            F.element_at(_literal_map(MODEL_RANK), a["model"]).alias("rank"),
-            i.alias("seq"),
-            _entity(a["label"], a["model"], config).alias("entity_type"),
-            a["text"].alias("text"),
-            a["model"].alias("model"),
-        )
-
-    spans = F.filter(F.transform(annotations, as_span), lambda s: s["entity_type"].isNotNull())
-    return F.transform(
-        spans,
-        lambda s: s.withField("entity_type", F.element_at(_literal_map(OUTPUT_LABEL), s["entity_type"])),
+    spans = (
+        f"transform({annotations}, (a, i) -> named_struct('start', a.start, 'end', a.`end`, "
+        f"'rank', {literal_map(MODEL_RANK)}[a.model], 'seq', i, "
+        f"'entity_type', {literal_map(OUTPUT_LABEL)}[{_entity('a.label', 'a.model', config)}], "
+        "'text', a.text, 'model', a.model))"
     )
+    return f"filter({spans}, s -> s.entity_type IS NOT NULL)"
 
 
 def intake_spans(
@@ -91,18 +77,17 @@ def intake_spans(
     """A table of raw model spans (``doc_id, start, end, label, text, model`` and
     optionally ``seq``) as a span table. Models named in ``inclusive_end`` give the
     last covered position instead of the end."""
-    seq = F.col("seq") if "seq" in raw.columns else F.lit(0)
-    shift = F.when(F.col("model").isin(*inclusive_end), 1).otherwise(0) if inclusive_end else F.lit(0)
+    last_models = ", ".join(map(literal, inclusive_end)) or "NULL"
     return (
-        raw.withColumn("entity", _entity(F.col("label"), F.col("model"), config))
-        .filter(F.col("entity").isNotNull())
-        .select(
+        raw.withColumn("entity", F.expr(_entity("label", "model", config)))
+        .filter("entity IS NOT NULL")
+        .selectExpr(
             "doc_id",
-            F.col("start").cast("int").alias("start"),
-            (F.col("end") + shift).cast("int").alias("end"),
-            F.element_at(_literal_map(MODEL_RANK), F.col("model")).alias("rank"),
-            seq.cast("int").alias("seq"),
-            F.element_at(_literal_map(OUTPUT_LABEL), F.col("entity")).alias("entity_type"),
+            "cast(start AS int) AS start",
+            f"cast(`end` + CASE WHEN model IN ({last_models}) THEN 1 ELSE 0 END AS int) AS `end`",
+            f"{literal_map(MODEL_RANK)}[model] AS rank",
+            "cast(seq AS int) AS seq" if "seq" in raw.columns else "0 AS seq",
+            f"{literal_map(OUTPUT_LABEL)}[entity] AS entity_type",
             "text",
             "model",
         )

@@ -16,9 +16,9 @@ def as_struct(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in SPAN_COLUMNS]).cast(SPAN)
 
 
-def flatten(df: DataFrame, spans: Column) -> DataFrame:
+def flatten(df: DataFrame, spans: str) -> DataFrame:
     """One row per element of the span array ``spans``."""
-    return df.select("doc_id", F.explode(spans).alias("span")).select("doc_id", "span.*")
+    return df.selectExpr("doc_id", f"inline({spans})")
 
 
 def first_per_start(spans: DataFrame, *keep: Column) -> DataFrame:
@@ -65,7 +65,7 @@ def resolve_spans(spans: DataFrame, touching: str = "drop") -> DataFrame:
         .groupBy("doc_id", F.col("head.start").alias("island"))
         .agg(F.collect_list("span").alias("spans"))
     )
-    return flatten(islands, resolve(F.col("spans"), touching))
+    return flatten(islands, resolve("spans", touching))
 
 
 def kept_per_document(spans: DataFrame, touching: str = "drop") -> DataFrame:

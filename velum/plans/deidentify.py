@@ -22,25 +22,24 @@ from velum.operators.spans import (
 def _found(documents: DataFrame, config: DeidConfig, annotators: dict | None) -> DataFrame:
     """Documents with all found spans as an array, in the row they came from."""
     factories = {m: f for m, f in (annotators or {}).items() if m in config.model_entities}
-    patterns = pattern_spans(F.col("text"), config.pattern_entities, config.reference_date)
+    patterns = pattern_spans("text", config.pattern_entities, config.reference_date)
     if not factories:
-        return documents.select("doc_id", "text", patterns.alias("spans"))
+        return documents.selectExpr("doc_id", "text", f"{patterns} AS spans")
     return documents.select(
         "doc_id", "text", annotate(F.col("text"), factories).alias("annotations")
-    ).select(
-        "doc_id", "text", F.concat(patterns, intake(F.col("annotations"), config)).alias("spans")
-    )
+    ).selectExpr("doc_id", "text", f"concat({patterns}, {intake('annotations', config)}) AS spans")
 
 
-def _masked(config: DeidConfig):
-    return mask(
-        F.col("text"),
-        F.col("kept"),
+def _masked(config: DeidConfig) -> str:
+    masked = mask(
+        "text",
+        "kept",
         config.mode,
         config.special_character,
         config.date_level,
         config.reference_date,
-    ).alias("masked_text")
+    )
+    return f"{masked} AS masked_text"
 
 
 def find_spans(
@@ -56,9 +55,8 @@ def find_spans(
     ``model_spans``, a table of raw spans computed elsewhere."""
     found = _found(documents, config, annotators)
     if model_spans is None:
-        spans = resolve(F.col("spans")) if merge else F.col("spans")
-        return flatten(found, spans)
-    both = flatten(found, F.col("spans")).unionByName(intake_spans(model_spans, config))
+        return flatten(found, resolve("spans") if merge else "spans")
+    both = flatten(found, "spans").unionByName(intake_spans(model_spans, config))
     return resolve_spans(both) if merge else both
 
 
@@ -79,13 +77,12 @@ def deidentify(
         if not merge:
             raise ValueError("with model_spans use merge=True here, or find_spans for all spans")
         others = starts_per_document(intake_spans(model_spans, config))
-        candidates = F.coalesce(F.col("candidates"), empty(SPAN))
-        found = found.join(others, "doc_id", "left").select(
-            "doc_id", "text", F.concat("spans", candidates).alias("spans")
+        found = found.join(others, "doc_id", "left").selectExpr(
+            "doc_id", "text", f"concat(spans, coalesce(candidates, {empty(SPAN)})) AS spans"
         )
-    resolved = found.select("doc_id", "text", "spans", resolve(F.col("spans")).alias("kept"))
-    return resolved.select(
-        "doc_id", _masked(config), F.col("kept" if merge else "spans").alias("spans")
+    resolved = found.selectExpr("doc_id", "text", "spans", f"{resolve('spans')} AS kept")
+    return resolved.selectExpr(
+        "doc_id", _masked(config), f"{'kept' if merge else 'spans'} AS spans"
     )
 
 
@@ -94,6 +91,6 @@ def remask(documents: DataFrame, spans: DataFrame, config: DeidConfig) -> DataFr
     return (
         documents.select("doc_id", "text")
         .join(kept_per_document(spans), "doc_id", "left")
-        .select("doc_id", "text", F.coalesce("kept", empty(SPAN)).alias("kept"))
-        .select("doc_id", _masked(config))
+        .selectExpr("doc_id", "text", f"coalesce(kept, {empty(SPAN)}) AS kept")
+        .selectExpr("doc_id", _masked(config))
     )

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from velum.labels import BIO_KEEP
 from velum.operators.annotations import (
     annotation_mask,
     bio_runs,
@@ -12,7 +12,6 @@ from velum.operators.annotations import (
     sentence_text,
     sentences,
 )
-from velum.labels import BIO_KEEP
 
 
 def gold_corpus(
@@ -23,19 +22,18 @@ def gold_corpus(
 ) -> DataFrame:
     """``doc_id, text, gold, masked_text`` of token/BIO documents. The text is one
     sentence: number 1 is the body between the dummy first and last one."""
-    body = F.get(sentences(F.col("text"), sep), F.lit(sentence))
     return (
-        documents.select("doc_id", body.alias("tokens"))
-        .filter(F.col("tokens").isNotNull())
-        .select(
+        documents.selectExpr("doc_id", f"get({sentences('text', sep)}, {sentence}) AS tokens")
+        .filter("tokens IS NOT NULL")
+        .selectExpr(
             "doc_id",
-            sentence_text(F.col("tokens")).alias("text"),
-            bio_runs(labelled(F.col("tokens")), keep).alias("gold"),
+            f"{sentence_text('tokens')} AS text",
+            f"{bio_runs(labelled('tokens'), keep)} AS gold",
         )
-        .select("doc_id", "text", "gold", annotation_mask(F.col("text"), F.col("gold")).alias("masked_text"))
+        .selectExpr("doc_id", "text", "gold", f"{annotation_mask('text', 'gold')} AS masked_text")
     )
 
 
 def gold_rows(corpus: DataFrame) -> DataFrame:
     """One row per gold span of a gold corpus."""
-    return corpus.select("doc_id", F.inline("gold")).drop("rank", "seq")
+    return corpus.selectExpr("doc_id", "inline(gold)").drop("rank", "seq")

@@ -1,0 +1,18 @@
+"""Reading text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than there are cores.
+
+    Finding and masking are bound by the CPU, and a file with one row group is read
+    by one task however many cores are free. Such a table is small next to the
+    cluster, so moving its rows pays; a table with enough splits is returned as it
+    is. Call it on a scan, before anything that shuffles."""
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

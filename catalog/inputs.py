@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import velum
-from velum.functions.arrays import running
+from velum.functions.arrays import rows, running
 from velum.labels import CORPUS_MARKER, MONTHS
 from velum.sources.tables import spread
 
@@ -155,7 +155,7 @@ def _labelled(pieces: DataFrame) -> DataFrame:
         f"'entity_type', {p}.label, 'cut', {p}.cut, 'text', {p}.value))",
         "struct<start:int,end:int,entity_type:string,cut:int,text:string>",
     )
-    return pieces.selectExpr("doc_id", "o_orderkey", f"inline({placed})").filter("entity_type <> ''")
+    return pieces.selectExpr("doc_id", "o_orderkey", rows(placed)).filter("entity_type <> ''")
 
 
 def letters_gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import velum
 from catalog import inputs as I
 from velum.functions import finders
-from velum.functions.dates import generalise, normalise_months, parse_date
+from velum.functions.arrays import rows
+from velum.functions.dates import generalise, normalise_months
 from velum.operators import annotations, models, scoring, spans
 from velum.plans.gold import gold_corpus, gold_rows
 from velum.sources import files
@@ -24,27 +25,19 @@ def _flat(df: DataFrame, *others: str) -> DataFrame:
 
 
 def find(finder, spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = I.corpus(spark, sf_dir).selectExpr("doc_id", f"inline({finder('text')})")
+    hits = I.corpus(spark, sf_dir).selectExpr("doc_id", rows(finder("text")))
     return _flat(hits, "text")
 
 
-def _valid_dates(spark, sf_dir):
-    """Date candidates with what they were read as; NULL dates are dropped."""
-    candidates = finders.find_date_candidates("text")
-    hits = I.corpus(spark, sf_dir).selectExpr("doc_id", f"inline({candidates})")
-    return hits.withColumn("date", F.expr(parse_date("text", I.REFERENCE_DATE))).filter(
-        "date IS NOT NULL"
-    )
-
-
 def find_date_valid(spark, sf_dir):
     dates = finders.find_dates("text", I.REFERENCE_DATE)
-    return _flat(I.corpus(spark, sf_dir).selectExpr("doc_id", f"inline({dates})"), "text")
+    return _flat(I.corpus(spark, sf_dir).selectExpr("doc_id", rows(dates)), "text")
 
 
 def date_generalise(level, spark, sf_dir):
-    shown = _valid_dates(spark, sf_dir).withColumn("shown", F.expr(generalise("date", level)))
-    return _flat(shown, "text", "shown")
+    read = rows(finders.find_readings("text", I.REFERENCE_DATE))
+    hits = I.corpus(spark, sf_dir).selectExpr("doc_id", read)
+    return _flat(hits.withColumn("shown", F.expr(generalise("date", level))), "text", "shown")
 
 
 def months_normalised(spark, sf_dir):
@@ -104,25 +97,28 @@ def corpus_split(spark, sf_dir):
 
 
 def conll_tokens(spark, sf_dir):
-    rows = annotations.token_rows(I.token_texts(spark, sf_dir))
-    return _flat(rows, "sent_id", "pos", "word", "tag")
+    tokens = annotations.token_rows(I.token_texts(spark, sf_dir))
+    return _flat(tokens, "sent_id", "pos", "word", "tag")
 
 
 def token_offsets(spark, sf_dir):
-    rows = annotations.token_rows(I.token_texts(spark, sf_dir))
-    return _flat(rows.filter(F.col("tag") != "O"), "sent_id", "word", "tag")
+    tokens = annotations.token_rows(I.token_texts(spark, sf_dir))
+    return _flat(tokens.filter(F.col("tag") != "O"), "sent_id", "word", "tag")
+
+
+def _records(spark, sf_dir):
+    records = annotations.sentence_records(I.token_texts(spark, sf_dir))
+    return records.selectExpr("doc_id", "posexplode(array_compact(records)) AS (sent_id, r)")
 
 
 def sentence_records(spark, sf_dir):
-    rows = annotations.sentence_records(I.token_texts(spark, sf_dir))
-    return rows.select("doc_id", F.posexplode("records").alias("sent_id", "r")).select(
+    return _records(spark, sf_dir).select(
         "doc_id", "sent_id", "r.text", F.size("r.labels").cast("long").alias("n_labels")
     )
 
 
 def sentence_json(spark, sf_dir):
-    rows = annotations.sentence_records(I.token_texts(spark, sf_dir))
-    return rows.select("doc_id", F.posexplode("records").alias("sent_id", "r")).select(
+    return _records(spark, sf_dir).select(
         "doc_id", "sent_id", files.record_json(F.col("r"), "json").alias("record")
     )
 

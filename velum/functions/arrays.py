@@ -27,6 +27,15 @@ def literal_map(values: dict) -> str:
     return f"map({pairs})"
 
 
+def rows(array: str) -> str:
+    """Generator of one row per struct in an array column.
+
+    For a bare column the optimizer adds the filter ``size(column) > 0`` and pushes
+    it below the projection that computes the column, and below a repartition, so
+    that the whole expression is evaluated twice more. It does not for a call."""
+    return f"inline(array_compact({array}))"
+
+
 def empty(element: str) -> str:
     return f"cast(array() AS array<{element}>)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from velum.functions.arrays import let
-from velum.functions.patterns import ASCII_DIGITS, DATE_SEPARATOR, OTHER_DIGITS
+from velum.functions.patterns import ASCII_DIGITS, OTHER_DIGITS
 from velum.labels import MONTHS
 
 
@@ -24,15 +24,17 @@ def parse_date(text: str, reference_date: dt.date) -> str:
     century of a two-digit year. Never read the wall clock in a task: a retried
     task could then give another answer than the first one."""
     ascii_text = (
-        f"CASE WHEN {text} RLIKE '[^\\\\x00-\\\\x7f]' "
-        f"THEN translate({text}, '{OTHER_DIGITS}', '{ASCII_DIGITS}') ELSE {text} END"
+        f"CASE WHEN length({text}) = octet_length({text}) THEN {text} "
+        f"ELSE translate({text}, '{OTHER_DIGITS}', '{ASCII_DIGITS}') END"
     )
-    parts = f"named_struct('part', split(t, r'{DATE_SEPARATOR}'), 'seps', regexp_replace(t, '[0-9]', ''))"
-    return let(
-        "t",
-        normalise_months(ascii_text),
-        let("cut", parts, let("v", _values("cut.part", "cut.seps"), _assign("v", reference_date))),
+    numeric = f"CASE WHEN w RLIKE '[a-z]' THEN {normalise_months('w')} ELSE w END"
+    # Separators as one character, so that no pattern is compiled per row.
+    parts = (
+        "named_struct('part', split(translate(t, '-/.', '   '), ' '), "
+        "'seps', translate(t, '0123456789', ''))"
     )
+    read = let("cut", parts, let("v", _values("cut.part", "cut.seps"), _assign("v", reference_date)))
+    return let("w", ascii_text, let("t", numeric, read))
 
 
 def _number(part: str) -> str:

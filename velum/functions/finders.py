@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from velum.functions import patterns as P
-from velum.functions.arrays import empty, running
+from velum.functions.arrays import empty, let, running
 from velum.functions.dates import parse_date
 from velum.labels import OUTPUT_LABEL, PATTERN_RANK
 
@@ -19,28 +19,40 @@ def matches(text: str, pattern: str) -> str:
     return f"{text} RLIKE r'{pattern}'"
 
 
-def find_all(text: str, pattern: str, gate: str | None = None, exact: bool = False) -> str:
+# A character no text should hold, put around each match, and one that no pattern
+# here tells apart from it, put in its place where a text does hold it.
+MARK, STAND_IN = "\uffff", "\ufffe"
+
+
+def find_all(text: str, pattern: str, gate: str | None = None) -> str:
     """All matches of a JVM ``pattern``, left to right, with code-point offsets.
 
-    A row that fails ``gate`` or does not match at all is done without building
-    anything; an ``exact`` gate holds for just the rows with a match. In the others
-    each match is taken once with the gap before it, which gives the length to move
-    on, and once alone."""
-    hits = f"regexp_extract_all({text}, r'({pattern})', 1)"
-    steps = rf"regexp_extract_all({text}, r'\G((?s:.*?))(?:{pattern})', 0)"
-    items = f"zip_with({hits}, {steps}, (h, s) -> named_struct('text', h, 'step', length(s)))"
+    Rows that fail ``gate``, a cheaper condition that holds for every row with a
+    match, are done. In the others one pass puts a mark around each match, and
+    cutting the text at the marks gives gaps and matches in turn, whose lengths add
+    up to the offsets."""
     found = running(
-        items,
+        "hits",
         "0",
         lambda at, item: f"{at} + {item}.step",
         lambda at, item: f"array(named_struct('start', {at} + {item}.step - length({item}.text), "
         f"'end', {at} + {item}.step, 'text', {item}.text))",
         HIT,
     )
-    if gate is None:
-        gate, exact = matches(text, pattern), True
-    condition = gate if exact else f"{gate} AND {matches(text, pattern)}"
-    return f"CASE WHEN {condition} THEN {found} ELSE {empty(HIT)} END"
+    has_mark = f"contains({text}, '{MARK}')"
+    # Only a text with a mark of its own needs its matches cut out again.
+    exact = f"""CASE WHEN {has_mark} THEN transform({found}, h -> named_struct('start', h.start,
+        'end', h.`end`, 'text', substring({text}, h.start + 1, h.`end` - h.start))) ELSE {found} END"""
+    clean = f"CASE WHEN {has_mark} THEN replace({text}, '{MARK}', '{STAND_IN}') ELSE {text} END"
+    marked = f"regexp_replace({clean}, r'{pattern}', '{MARK}$0{MARK}')"
+    hits = let(
+        "cuts",
+        f"split({marked}, '{MARK}', -1)",
+        """transform(slice(sequence(0, size(cuts), 2), 1, cast(size(cuts) / 2 AS int)),
+            k -> named_struct('text', cuts[k + 1], 'step', length(cuts[k]) + length(cuts[k + 1])))""",
+    )
+    condition = gate or matches(text, pattern)
+    return f"CASE WHEN {condition} THEN {let('hits', hits, exact)} ELSE {empty(HIT)} END"
 
 
 def _reshape(hits: str, start: str, end: str, text: str) -> str:
@@ -62,7 +74,7 @@ def find_zipcode(text: str) -> str:
 
 def find_email(text: str) -> str:
     gate = f"contains({text}, '@') AND {matches(text, P.GATE_EMAIL)}"
-    return find_all(text, P.JVM_EMAIL, gate, exact=True)
+    return find_all(text, P.JVM_EMAIL, gate)
 
 
 def find_fiscal_code(text: str) -> str:
@@ -85,6 +97,15 @@ def find_dates(text: str, reference_date) -> str:
     )
 
 
+def find_readings(text: str, reference_date) -> str:
+    """Candidates that can be read as a date, with what they are read as."""
+    read = (
+        f"transform({find_date_candidates(text)}, h -> named_struct('start', h.start, "
+        f"'end', h.`end`, 'text', h.text, 'date', {parse_date('h.text', reference_date)}))"
+    )
+    return f"filter({read}, h -> h.date IS NOT NULL)"
+
+
 def _lower_text(hits: str) -> str:
     return _reshape(hits, "h.start", "h.`end`", "lower(h.text)")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from velum.functions.arrays import empty, literal, literal_map, running
+from velum.functions.arrays import empty, literal, literal_map, rows, running
 from velum.functions.finders import find_all
 from velum.functions.mask import mask
 from velum.functions.patterns import INLINE_TAG
@@ -52,7 +52,7 @@ def inline_spans(text: str) -> str:
 
 
 def gold_from_inline_tags(tagged: DataFrame) -> DataFrame:
-    return tagged.selectExpr("doc_id", f"inline({inline_spans('text')})")
+    return tagged.selectExpr("doc_id", rows(inline_spans("text")))
 
 
 def split_corpus(corpus: DataFrame, marker: str = CORPUS_MARKER) -> DataFrame:
@@ -112,7 +112,7 @@ def token_rows(documents: DataFrame, sep: str = " ") -> DataFrame:
     """One row per token: ``doc_id, sent_id, pos, word, tag, start, end``."""
     return documents.selectExpr(
         "doc_id", f"posexplode({sentences('text', sep)}) AS (sent_id, tokens)"
-    ).selectExpr("doc_id", "sent_id", "inline(tokens)")
+    ).selectExpr("doc_id", "sent_id", rows("tokens"))
 
 
 def sentence_records(documents: DataFrame, sep: str = " ") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velum.functions.arrays import rows
 from velum.functions.finders import SPAN
 from velum.functions.resolve import resolve
 
@@ -18,7 +19,7 @@ def as_struct(prefix: str = "") -> Column:
 
 def flatten(df: DataFrame, spans: str) -> DataFrame:
     """One row per element of the span array ``spans``."""
-    return df.selectExpr("doc_id", f"inline({spans})")
+    return df.selectExpr("doc_id", rows(spans))
 
 
 def first_per_start(spans: DataFrame, *keep: Column) -> DataFrame:

@@ -19,15 +19,18 @@ from velum.operators.spans import (
 )
 
 
-def _found(documents: DataFrame, config: DeidConfig, annotators: dict | None) -> DataFrame:
-    """Documents with all found spans as an array, in the row they came from."""
+def _found(
+    documents: DataFrame, config: DeidConfig, annotators: dict | None
+) -> tuple[DataFrame, str]:
+    """Documents, and the expression for the array of all spans found in a row."""
     factories = {m: f for m, f in (annotators or {}).items() if m in config.model_entities}
     patterns = pattern_spans("text", config.pattern_entities, config.reference_date)
     if not factories:
-        return documents.selectExpr("doc_id", "text", f"{patterns} AS spans")
-    return documents.select(
+        return documents.select("doc_id", "text"), patterns
+    annotated = documents.select(
         "doc_id", "text", annotate(F.col("text"), factories).alias("annotations")
-    ).selectExpr("doc_id", "text", f"concat({patterns}, {intake('annotations', config)}) AS spans")
+    )
+    return annotated, f"concat({patterns}, {intake('annotations', config)})"
 
 
 def _masked(config: DeidConfig) -> str:
@@ -53,10 +56,10 @@ def find_spans(
 
     Model spans come from ``annotators`` (model name -> factory, run in place) or from
     ``model_spans``, a table of raw spans computed elsewhere."""
-    found = _found(documents, config, annotators)
+    documents, spans = _found(documents, config, annotators)
     if model_spans is None:
-        return flatten(found, resolve("spans") if merge else "spans")
-    both = flatten(found, "spans").unionByName(intake_spans(model_spans, config))
+        return flatten(documents, resolve(spans) if merge else spans)
+    both = flatten(documents, spans).unionByName(intake_spans(model_spans, config))
     return resolve_spans(both) if merge else both
 
 
@@ -72,7 +75,8 @@ def deidentify(
     Without ``model_spans`` this is a projection: no shuffle, and it also runs on a
     stream. ``spans`` are all found spans, or with ``merge`` the kept ones. With a
     table of model spans only kept ones are given here; ``find_spans`` has all."""
-    found = _found(documents, config, annotators)
+    documents, spans = _found(documents, config, annotators)
+    found = documents.selectExpr("doc_id", "text", f"{spans} AS spans")
     if model_spans is not None:
         if not merge:
             raise ValueError("with model_spans use merge=True here, or find_spans for all spans")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from velum.functions.arrays import rows
 from velum.labels import BIO_KEEP
 from velum.operators.annotations import (
     annotation_mask,
@@ -23,8 +24,9 @@ def gold_corpus(
     """``doc_id, text, gold, masked_text`` of token/BIO documents. The text is one
     sentence: number 1 is the body between the dummy first and last one."""
     return (
-        documents.selectExpr("doc_id", f"get({sentences('text', sep)}, {sentence}) AS tokens")
-        .filter("tokens IS NOT NULL")
+        documents.selectExpr(
+            "doc_id", f"explode(slice({sentences('text', sep)}, {sentence + 1}, 1)) AS tokens"
+        )
         .selectExpr(
             "doc_id",
             f"{sentence_text('tokens')} AS text",
@@ -36,4 +38,4 @@ def gold_corpus(
 
 def gold_rows(corpus: DataFrame) -> DataFrame:
     """One row per gold span of a gold corpus."""
-    return corpus.selectExpr("doc_id", "inline(gold)").drop("rank", "seq")
+    return corpus.selectExpr("doc_id", rows("gold")).drop("rank", "seq")

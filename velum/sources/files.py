@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velum.functions.arrays import rows
 from velum.operators.annotations import SEPARATORS
 
 LETTER_GOLD = T.StructType(
@@ -194,7 +195,7 @@ def write_gold_corpus(corpus: DataFrame, path: str, per_document: bool = False)
     As tables (parquet, and one CSV table with ``doc_id`` in front), or with
     ``per_document`` as one text, one masked text and one headerless CSV per
     document under ``doc_id=<id>``, which suits small corpora only."""
-    spans = corpus.select("doc_id", F.inline("gold")).select(
+    spans = corpus.selectExpr("doc_id", rows("gold")).select(
         "doc_id", "start", (F.col("end") + 1).alias("end"), "bio_label", "entity_type"
     )
     texts = corpus.select("doc_id", "text")

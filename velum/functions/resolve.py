@@ -11,14 +11,15 @@ def resolve(spans: str, touching: str = "drop", element: str = SPAN) -> str:
     each that starts after the end of all kept ones.
 
     A span that starts exactly where a kept one ends is dropped; with
-    ``touching='keep'`` it stays. The struct's leading fields must be
+    ``touching='keep'`` it stays unless it is empty. The struct's leading fields must be
     ``start, end, rank, seq``."""
     if touching not in ("drop", "keep"):
         raise ValueError("touching must be 'drop' or 'keep'")
-    clear = ">" if touching == "drop" else ">="
-
     def keeps(last_end, span):
-        return f"({last_end} IS NULL OR {span}.start {clear} {last_end})"
+        free = f"{last_end} IS NULL OR {span}.start > {last_end}"
+        if touching == "keep":
+            free += f" OR ({span}.start = {last_end} AND {span}.`end` > {span}.start)"
+        return f"({free})"
 
     return running(
         f"array_sort({spans})",

@@ -27,6 +27,12 @@ def literal_map(values: dict) -> str:
     return f"map({pairs})"
 
 
+def section(array: str, first: str, last: str) -> str:
+    """Elements ``first`` to ``last``, from 0. Unlike ``slice`` this does not copy the
+    whole array to take a part of it."""
+    return f"transform(sequence({first}, {last}), at -> get({array}, at))"
+
+
 def rows(array: str) -> str:
     """Generator of one row per struct in an array column.
 
@@ -56,14 +62,16 @@ def running(
         f"(acc, item) -> named_struct('state', {advance('acc.state', 'item')}, "
         f"'out', concat(acc.out, {emit('acc.state', 'item')}))"
     )
-    one_chunk = let(
-        "part",
-        f"aggregate(chunk, named_struct('state', whole.state, 'out', {empty(element)}), {one})",
-        "named_struct('state', part.state, 'out', concat(whole.out, array(part.out)))",
+    # The parts are put together where the inner fold ends: a `transform` would copy
+    # all of what was gathered so far each time.
+    one_chunk = (
+        f"aggregate(chunk, named_struct('state', whole.state, 'out', {empty(element)}), {one}, "
+        "part -> named_struct('state', part.state, 'out', concat(whole.out, array(part.out))))"
     )
+    first, last = f"c * {CHUNK}", f"least(c * {CHUNK} + {CHUNK - 1}, size(items) - 1)"
     chunks = (
         f"transform(sequence(0, cast(floor((size(items) - 1) / {CHUNK}) AS int)), "
-        f"c -> slice(items, c * {CHUNK} + 1, {CHUNK}))"
+        f"c -> {section('items', first, last)})"
     )
     start = f"named_struct('state', {zero}, 'out', {empty(f'array<{element}>')})"
     walked = (

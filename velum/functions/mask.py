@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from velum.config import check_date_level, check_mode
-from velum.functions.arrays import let, literal
+from velum.functions.arrays import let, literal, section
 from velum.functions.dates import generalise, parse_date
 
 # Code points per block of a long text.
@@ -63,8 +63,8 @@ def mask(
 
     def piece(start, end):
         first = f"cast(floor({start} / {BLOCK}) AS int)"
-        n_blocks = f"cast(floor({end} / {BLOCK}) AS int) - {first} + 1"
-        around = f"array_join(slice(blocks, {first} + 1, {n_blocks}), '')"
+        last = f"cast(floor(({end} - 1) / {BLOCK}) AS int)"
+        around = f"array_join({section('blocks', first, last)}, '')"
         return (
             f"CASE WHEN {end} > {start} THEN "
             f"substring({around}, {start} - {first} * {BLOCK} + 1, {end} - {start}) ELSE '' END"

@@ -7,7 +7,8 @@ which way is drawn with the odds that keep each document's expectation. The word
 source stay the same in every step, so however many documents take part, the outcome is
 off its target by less than one document.
 
-Steps run inside blocks of about ``BLOCK`` documents that share a prefix of their hash.
+Steps run inside blocks of some 256 documents at most that share a prefix of their hash,
+long documents first, so that what stays open in the end is seldom a long one.
 What a block leaves open, one document at most, moves on to the block of the next shorter
 prefix: a reduction tree per source, whose first level does nearly all the work. A large
 source has more blocks, not larger ones."""
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from velum.llm.shared import Scratch, col, fraction
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK_BITS = 5
+BLOCK_BITS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 # Words that count as none when a fraction is taken for whole.
 EPSILON = 1e-6
@@ -125,7 +126,7 @@ def _open_units(units: DataFrame, targets: DataFrame) -> DataFrame:
 def _settled(blocks: DataFrame, seed: int) -> DataFrame:
     """One pass of pivotal steps through each block: ``settled`` units with their extra
     copy, and ``open``, the unit that is left with a fraction, if any."""
-    unit = "struct<h:bigint,doc_id:{id},size:bigint,mark:bigint,p:double>".format(
+    unit = "struct<rank:bigint,h:bigint,doc_id:{id},size:bigint,mark:bigint,p:double>".format(
         id=dict(blocks.dtypes)["doc_id"]
     )
     out = f"array<struct<unit:{unit},extra:int>>"
@@ -136,7 +137,7 @@ def _settled(blocks: DataFrame, seed: int) -> DataFrame:
             WHEN acc.open IS NULL THEN named_struct('open', b, 'done', acc.done)
             ELSE {_step()} END)"""
     grouped = blocks.groupBy("source", "bits", "block").agg(
-        F.collect_list(F.struct("h", "doc_id", "size", "mark", "p")).alias("units")
+        F.collect_list(F.struct((-F.col("size")).alias("rank"), "h", "doc_id", "size", "mark", "p")).alias("units")
     )
     return grouped.select("source", "bits", F.expr(walk.replace("{seed}", str(seed))).alias("walk"))
 
@@ -154,7 +155,7 @@ def _step() -> str:
 
     def unit(u, p):
         return (
-            f"named_struct('h', {u}.h, 'doc_id', {u}.doc_id, 'size', {u}.size, "
+            f"named_struct('rank', {u}.rank, 'h', {u}.h, 'doc_id', {u}.doc_id, 'size', {u}.size, "
             f"'mark', {u}.mark, 'p', {p})"
         )
 

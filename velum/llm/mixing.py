@@ -20,7 +20,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.shared import Scratch, col, fraction
+from velum.llm.shared import Scratch, col, fraction, offsets
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_BITS = 8
@@ -67,12 +67,7 @@ def source_targets(
         F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")
     )
     ranked = scratch.keep(_ranked(sums), "ranked")
-    before = ranked.groupBy("part").agg(F.count("*").alias("k")).alias("a")
-    offset = (
-        before.join(before.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-        .groupBy(F.col("a.part").alias("part"))
-        .agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("offset"))
-    )
+    offset = offsets(ranked.groupBy("part").agg(F.count("*").alias("k")), "part", "k")
     rank = F.col("offset") + F.col("place")
     weight = F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
 from velum.llm.sharding import extendible_shards
+from velum.llm.token_files import token_files
 
 SHARD_BYTES = 64 << 20
 
@@ -22,6 +23,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files(_table(spark, sf_dir, "documents"), str(path), end_id=2)
+
+
 def op8_mixing(spark, sf_dir):
     return mixed_sizes(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,7 @@ def op9_sharding(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }

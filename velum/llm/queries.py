@@ -11,6 +11,7 @@ from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
 from velum.llm.sharding import extendible_shards
 from velum.llm.token_files import token_files
+from velum.llm.toxicity import toxicity
 
 SHARD_BYTES = 64 << 20
 
@@ -30,6 +31,10 @@ def op5_token_files(spark, sf_dir):
     return token_files(_table(spark, sf_dir, "documents"), str(path), end_id=2)
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixed_sizes(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op9_sharding(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
 }

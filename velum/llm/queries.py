@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
 from velum.llm.sharding import extendible_shards
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    return mark_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -51,6 +56,7 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_files": op5_token_files,
     "op7_toxicity": op7_toxicity,

@@ -13,6 +13,7 @@ from velum.llm.mixing import mixed_sizes
 from velum.llm.sharding import extendible_shards
 from velum.llm.token_files import token_files
 from velum.llm.toxicity import toxicity
+from velum.llm.url_templates import Rule, filter_urls
 
 SHARD_BYTES = 64 << 20
 
@@ -29,6 +30,18 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+URL_RULES = (
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
+
+
+def op4_url_templates(spark, sf_dir):
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -58,6 +71,7 @@ def op9_sharding(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_url_templates": op4_url_templates,
     "op5_token_files": op5_token_files,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,

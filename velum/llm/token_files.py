@@ -35,7 +35,7 @@ from velum.llm.shared import Scratch, col, offsets
 MAGIC = b"VTOK0001"
 BLOCK = 1 << 16
 PLANES = 4
-LEVEL = 3
+LEVEL = 1
 INDEX = np.dtype([("offset", "<i8"), ("n_ids", "<i4"), ("sizes", "<i4", (PLANES,))])
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "?"), ("n_ids", "<i8")])
 TOKENIZER_LIMIT = 64 << 20
@@ -68,7 +68,7 @@ class Encoder:
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     )
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    MOST_WORDS, MOST_PIECES, LONGEST = 500_000, 1_000_000, 40
+    MOST_WORDS, MOST_PIECES, LONGEST = 1_000_000, 1_000_000, 40
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def draws(n: int, seed: int) -> np.ndarray:
     """``n`` fixed 64-bit numbers."""
-    start = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    start = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
     return mix(start + np.arange(1, n + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
 
 

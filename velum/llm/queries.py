@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
+from velum.llm.near_dedup import near_duplicates
 from velum.llm.sharding import extendible_shards
 from velum.llm.token_files import token_files
 from velum.llm.toxicity import toxicity
@@ -30,6 +31,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = (
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -71,6 +76,7 @@ def op9_sharding(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_url_templates": op4_url_templates,
     "op5_token_files": op5_token_files,
     "op7_toxicity": op7_toxicity,

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from velum.llm.shared import Scratch, col, fraction
 
@@ -189,8 +190,9 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
     empty; a column of that name is replaced."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop("toxicity")
-    at = df.columns.index(text)
-    schema = df.schema.add("toxicity", "double")
+    names, at = df.columns, df.columns.index(text)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = StructType([*plain.schema.fields, StructField("toxicity", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
@@ -200,7 +202,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
                 [*batch.columns, scores], names=[*batch.schema.names, "toxicity"]
             )
 
-    return df.mapInArrow(score, schema)
+    return plain.mapInArrow(score, schema).toDF(*names, "toxicity")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:

@@ -11,6 +11,7 @@ from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
 from velum.llm.near_dedup import near_duplicates
+from velum.llm.repeated_windows import dedup_windows
 from velum.llm.sharding import extendible_shards
 from velum.llm.token_files import token_files
 from velum.llm.toxicity import toxicity
@@ -73,6 +74,10 @@ def op9_sharding(spark, sf_dir):
     )
 
 
+def op10_repeated_windows(spark, sf_dir):
+    return dedup_windows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_repeated_windows": op10_repeated_windows,
 }
 
 ORACLE = {

@@ -13,6 +13,7 @@ from velum.llm.mixing import mixed_sizes
 from velum.llm.near_dedup import near_duplicates
 from velum.llm.repeated_windows import dedup_windows
 from velum.llm.sharding import extendible_shards
+from velum.llm.suffix_dedup import dedup_substrings
 from velum.llm.token_files import token_files
 from velum.llm.toxicity import toxicity
 from velum.llm.url_templates import Rule, filter_urls
@@ -55,6 +56,10 @@ def op5_token_files(spark, sf_dir):
     return token_files(_table(spark, sf_dir, "documents"), str(path), end_id=2)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_url_templates": op4_url_templates,
     "op5_token_files": op5_token_files,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,

@@ -38,6 +38,7 @@ class Fit:
     unlabelled: int = 12_000
     least_documents: int = 5
     deviations: float = 5.0
+    features: int = 20_000
     steps: int = 200
     rate: float = 0.05
     decay: float = 0.015
@@ -147,19 +148,61 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(remainder == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, at_most: int, fit: Fit, name: str, scratch: Scratch) -> list[np.ndarray]:
-    """Features of about ``at_most`` rows, taken by the hash of their identifier."""
+def _sample(docs: DataFrame, at_most: int, fit: Fit) -> DataFrame:
+    """``found``: the features of about ``at_most`` rows, taken by the hash of their
+    identifier."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t or "").tolist() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"found": pa.array(found, pa.list_(pa.int64()))})
+            for at in range(0, batch.num_rows, 256):
+                texts = batch["text"].slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_arrays([_lists([features(t) for t in texts])], names=["found"])
 
-    total = docs.count()
-    share = at_most / max(total, at_most)
+    share = at_most / max(docs.count(), at_most)
     chosen = docs.filter(fraction(F.col("doc_id"), F.lit(fit.seed)) < share).select("text")
-    kept = scratch.keep(chosen.mapInArrow(extract, "found array<long>"), name)
-    return [np.array(r, "u4") for r in kept.toArrow()["found"].to_pylist()]
+    return chosen.mapInArrow(extract, "found array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("i4")
+    flat = np.concatenate(rows).astype("i8") if rows else np.empty(0, "i8")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _telling_rows(sample: DataFrame, fit: Fit) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both samples with only those features that tell them apart. Features are counted
+    on the cluster; the driver gets at most ``fit.features`` of them."""
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_p or not n_u:
+        return [], []
+    counts = sample.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(
+        F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")
+    )
+    both = (F.col("p") + F.col("u")) / (n_p + n_u)
+    error = F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u)) + 1e-12
+    z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / error
+    telling = (
+        counts.filter(F.col("p") + F.col("u") >= fit.least_documents)
+        .select("f", z.alias("z"))
+        .filter(F.col("z") > fit.deviations)
+        .orderBy(F.desc("z"), "f")
+        .limit(fit.features)
+        .select("f")
+    )
+    keys = np.sort(telling.toArrow()["f"].to_numpy())
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["found"]
+            rows = np.split(found.flatten().to_numpy(), found.offsets.to_numpy()[1:-1] - found.offsets[0].as_py())
+            kept = _lists([r[np.isin(r, keys)] for r in rows])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], kept], names=["toxic", "found"])
+
+    narrowed = sample.select("toxic", "found").mapInArrow(narrow, "toxic boolean, found array<long>").toArrow()
+    found = narrowed["found"].to_pylist()
+    rows = [(t, np.array(r, "u4")) for t, r in zip(narrowed["toxic"].to_pylist(), found)]
+    return [r for t, r in rows if t], [r for t, r in rows if not t]
 
 
 def fit_toxicity(
@@ -180,8 +223,9 @@ def fit_toxicity(
     prior = min(max(toxic / n, 1e-4), 0.9) if n else 1e-4
     open_rows = rows.filter(~held_out())
     known = open_rows.join(marks.filter("label = 1").select("doc_id"), "doc_id", "left_semi")
-    positive = _sample(known, fit.positives, fit, "positive", scratch)
-    unlabelled = _sample(open_rows, fit.unlabelled, fit, "unlabelled", scratch)
+    sample = _sample(known, fit.positives, fit).withColumn("toxic", F.lit(True))
+    rest = _sample(open_rows, fit.unlabelled, fit).withColumn("toxic", F.lit(False))
+    positive, unlabelled = _telling_rows(scratch.keep(sample.unionByName(rest), "sample"), fit)
     return train(positive, unlabelled, prior, fit)
 
 

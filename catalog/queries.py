@@ -15,7 +15,7 @@ from velum.functions import finders
 from velum.functions.arrays import rows
 from velum.functions.dates import generalise, normalise_months
 from velum.operators import annotations, models, scoring, spans
-from velum.plans.gold import gold_corpus, gold_rows
+from velum.plans.gold import gold_from_corpora, gold_rows
 from velum.sources import files
 
 def _flat(df: DataFrame, *others: str) -> DataFrame:
@@ -123,18 +123,27 @@ def sentence_json(spark, sf_dir):
     )
 
 
+def _gold_corpora(spark, sf_dir):
+    """The whole chain from raw corpora on."""
+    corpus = gold_from_corpora(I.raw_corpora(spark, sf_dir))
+    return corpus.withColumn("doc_id", F.concat_ws("-", "corpus_id", "doc_index"))
+
+
 def bio_runs(spark, sf_dir):
-    return _flat(gold_rows(gold_corpus(I.token_texts(spark, sf_dir))), "bio_label", "entity_type")
+    return _flat(gold_rows(_gold_corpora(spark, sf_dir)), "bio_label", "entity_type")
 
 
 def annotation_mask(spark, sf_dir):
-    return gold_corpus(I.token_texts(spark, sf_dir)).select("doc_id", "text", "masked_text")
+    return _gold_corpora(spark, sf_dir).select("doc_id", "text", "masked_text")
 
 
 def document_order(spark, sf_dir):
     """Every text with its place in the order by document number."""
-    return I.documents(spark, sf_dir).select("doc_id", files.document_order().alias("doc_number")).orderBy(
-        "doc_number"
+    order = files.document_order()
+    return (
+        I.documents(spark, sf_dir)
+        .select("doc_id", order["digits"].cast("long").alias("doc_number"))
+        .orderBy(order)
     )
 
 
@@ -175,6 +184,15 @@ def deidentify_with_models(spark, sf_dir):
     ).select("doc_id", "masked_text")
 
 
+def deidentify_with_models_all(spark, sf_dir):
+    """Masked text and number of different spans found, patterns and models together."""
+    return velum.deidentify(
+        I.letters(spark, sf_dir),
+        I.config(I.MIXED_CONFIG, mode="tag"),
+        model_spans=_with_exclusive_ends(I.model_spans(spark, sf_dir)),
+    ).select("doc_id", "masked_text", F.size("spans").cast("long").alias("n_spans"))
+
+
 def _scored(values, spark, sf_dir):
     """Predicted and gold spans of the letters."""
     cfg = I.config(values)
@@ -220,11 +238,19 @@ def scores_macro(merge, spark, sf_dir):
     return _rounded(_evaluated(I.REGEX_CONFIG, spark, sf_dir, merge))
 
 
+def scores_partial_gold(spark, sf_dir):
+    """Gold for some letters only, and some of it without a letter."""
+    return _rounded(
+        velum.evaluate(I.letters(spark, sf_dir), I.partial_gold(spark, sf_dir), I.config(I.REGEX_CONFIG))
+    )
+
+
 def _all_scores(spark, sf_dir):
-    first, second, third = (
-        _evaluated(c, spark, sf_dir) for c in (I.REGEX_CONFIG, I.DATES_CONFIG, I.MIXED_CONFIG)
+    configs = [I.config(c) for c in (I.REGEX_CONFIG, I.DATES_CONFIG, I.MIXED_CONFIG)]
+    reports = _with_exclusive_ends(I.model_spans(spark, sf_dir))
+    return velum.evaluate_all(
+        I.letters(spark, sf_dir), I.letters_gold(spark, sf_dir), configs, model_spans=reports
     )
-    return first.unionByName(second).unionByName(third)
 
 
 def scores_all_configs(spark, sf_dir):
@@ -242,8 +268,8 @@ def score_matrix(spark, sf_dir):
 
 
 def unpaired_documents(spark, sf_dir):
-    """Texts without gold spans: all but the letters."""
-    return scoring.unpaired(I.corpus(spark, sf_dir), I.letters_gold(spark, sf_dir))
+    """Texts without gold spans, and gold spans without a text."""
+    return scoring.unpaired(I.corpus(spark, sf_dir), I.partial_gold(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -282,12 +308,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_span_intake": model_span_intake,
     "annotate_models": annotate_models,
     "deidentify_with_models": deidentify_with_models,
+    "deidentify_with_models_all": deidentify_with_models_all,
     "gold_labels": gold_labels,
     "confusion_strict": partial(confusion, "strict"),
     "confusion_lenient": partial(confusion, "lenient"),
     "scores_document": scores_document,
     "scores_macro": partial(scores_macro, False),
     "scores_macro_resolved": partial(scores_macro, True),
+    "scores_partial_gold": scores_partial_gold,
     "scores_all_configs": scores_all_configs,
     "scores_compare": scores_compare,
     "score_matrix": score_matrix,

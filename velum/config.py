@@ -37,6 +37,8 @@ class DeidConfig:
                 raise ValueError(f"unknown detector {backend!r} for {entity}")
             if backend == "regex" and entity not in PATTERN_RANK:
                 raise ValueError(f"no pattern exists for {entity}")
+            if backend in MODEL_LABELS and entity not in MODEL_LABELS[backend].values():
+                raise ValueError(f"{backend} has no label for {entity}")
 
     @classmethod
     def from_dict(cls, cfg: dict, base: DeidConfig | None = None, reference_date=None):
@@ -76,6 +78,15 @@ class DeidConfig:
         }
 
 
+def check_models(config: DeidConfig, annotators, model_spans, skip: tuple[str, ...]) -> None:
+    """Every model in use needs an annotator or a table of spans, or must be named as
+    one to do without: else its entities would stay in the text unnoticed."""
+    given = set(annotators or ()) | set(skip)
+    missing = sorted(set(config.model_entities) - given)
+    if missing and model_spans is None:
+        raise ValueError(f"no annotator and no spans for {', '.join(missing)}; see skip_models")
+
+
 def check_mode(mode: str) -> None:
     if mode not in MASK_MODES:
         raise ValueError(f"mask mode must be one of {MASK_MODES}, not {mode!r}")

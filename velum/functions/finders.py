@@ -41,8 +41,12 @@ def find_all(text: str, pattern: str, gate: str | None = None) -> str:
     )
     has_mark = f"contains({text}, '{MARK}')"
     # Only a text with a mark of its own needs its matches cut out again.
-    exact = f"""CASE WHEN {has_mark} THEN transform({found}, h -> named_struct('start', h.start,
-        'end', h.`end`, 'text', substring({text}, h.start + 1, h.`end` - h.start))) ELSE {found} END"""
+    exact = let(
+        "found",
+        found,
+        f"""CASE WHEN {has_mark} THEN transform(found, h -> named_struct('start', h.start,
+        'end', h.`end`, 'text', substring({text}, h.start + 1, h.`end` - h.start))) ELSE found END""",
+    )
     clean = f"CASE WHEN {has_mark} THEN replace({text}, '{MARK}', '{STAND_IN}') ELSE {text} END"
     marked = f"regexp_replace({clean}, r'{pattern}', '{MARK}$0{MARK}')"
     hits = let(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from velum.functions.arrays import empty, literal, literal_map, rows, running
+from velum.functions.arrays import empty, let, literal, literal_map, rows, running
 from velum.functions.finders import find_all
 from velum.functions.mask import mask
 from velum.functions.patterns import INLINE_TAG
@@ -22,7 +22,7 @@ GOLD = "struct<start:int,end:int,rank:int,seq:int,bio_label:string,entity_type:s
 # Separators a token line may use.
 SEPARATORS = (" ", "\t")
 
-# Documents of a raw corpus up to this length are dropped.
+# Documents of a raw corpus up to this length are dropped unless told otherwise.
 MIN_CHUNK = 45
 
 # A <YEAR> tag is this much longer than the year it stands for.
@@ -55,13 +55,15 @@ def gold_from_inline_tags(tagged: DataFrame) -> DataFrame:
     return tagged.selectExpr("doc_id", rows(inline_spans("text")))
 
 
-def split_corpus(corpus: DataFrame, marker: str = CORPUS_MARKER) -> DataFrame:
+def split_corpus(
+    corpus: DataFrame, marker: str = CORPUS_MARKER, min_length: int = MIN_CHUNK
+) -> DataFrame:
     """Raw corpus texts cut into documents at ``marker``, numbered within each corpus
     and put between the dummy first and last sentence."""
     chunks = (
         r"filter(split(replace(text, '\n\n', '\n'), "
         + literal(f"\\Q{marker}\\E")
-        + f", -1), c -> length(c) > {MIN_CHUNK})"
+        + f", -1), c -> length(c) > {min_length})"
     )
     return corpus.selectExpr("corpus_id", f"posexplode({chunks}) AS (doc_index, chunk)").selectExpr(
         "corpus_id",
@@ -82,6 +84,17 @@ def sentences(text: str, sep: str = " ") -> str:
     return f"transform({complete}, segment -> {_tokens('segment', sep)})"
 
 
+def body_tokens(text: str, sep: str = " ") -> str:
+    """Tokens of what stands between the first and the last blank line of a text, all as
+    one sentence; NULL if there is no such part."""
+    if sep not in SEPARATORS:
+        raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
+    body = rf"regexp_extract({text}, r'(?s)^.*?\n\n(.*)\n\n', 1)"
+    lines = rf"regexp_replace(regexp_replace({body}, r'\n{{2,}}', '\n'), r'\A\n', '')"
+    tokens = let("body", lines, _tokens("body", sep))
+    return rf"CASE WHEN {text} RLIKE r'(?s)\n\n.*\n\n' THEN {tokens} END"
+
+
 def _tokens(segment: str, sep: str) -> str:
     lines = rf"split(regexp_replace({segment}, r'\n\z', ''), r'\n', -1)"
     fields = (

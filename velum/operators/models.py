@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -19,14 +20,27 @@ ANNOTATION = "struct<start:int,end:int,label:string,text:string,model:string>"
 Annotator = Callable[[str], Iterable[tuple[int, int, str, str]]]
 
 
+_LOADED: dict[tuple[str, str], Annotator] = {}
+
+
+def loaded_models(plan: str, model: str, factory: Callable[[], Annotator]) -> Annotator:
+    """A model of this worker process. Those of other plans make room."""
+    if (plan, model) not in _LOADED:
+        for key in [k for k in _LOADED if k[0] != plan]:
+            del _LOADED[key]
+        _LOADED[plan, model] = factory()
+    return _LOADED[plan, model]
+
+
 def annotate(text: Column, factories: dict[str, Callable[[], Annotator]]) -> Column:
     """Run models over a text column, all in one pass.
 
     Only the text goes to the Python worker and only spans come back. Each model is
-    loaded once per task, when its first batch arrives."""
+    loaded once per worker: later tasks of the worker find it in ``loaded_models``."""
+    plan = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        loaded = {model: factory() for model, factory in factories.items()}
+        loaded = {m: loaded_models(plan, m, factory) for m, factory in factories.items()}
         for texts in batches:
             yield pd.Series(
                 [

@@ -69,18 +69,20 @@ def resolve_spans(spans: DataFrame, touching: str = "drop") -> DataFrame:
     return flatten(islands, resolve("spans", touching))
 
 
-def kept_per_document(spans: DataFrame, touching: str = "drop") -> DataFrame:
-    """Resolved spans as one ordered array per document. They do not overlap, so an
-    array is no longer than its text."""
+def distinct_per_document(spans: DataFrame) -> DataFrame:
+    """Per document, an array with all its different spans. Copies combine before the
+    shuffle."""
     return (
-        resolve_spans(spans, touching)
+        spans.select("doc_id", as_struct().alias("span"))
+        .distinct()
         .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(as_struct())).alias("kept"))
+        .agg(F.array_sort(F.collect_list("span")).alias("candidates"))
     )
 
 
 def starts_per_document(spans: DataFrame) -> DataFrame:
-    """Per document, an array with all spans that resolution may still keep."""
+    """Per document, an array with all spans that resolution may still keep. Starts must
+    lie inside the text, which bounds the array by its length."""
     return (
         first_per_start(spans).groupBy("doc_id").agg(F.collect_list("span").alias("candidates"))
     )

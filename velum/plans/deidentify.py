@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.config import DeidConfig
+from velum.config import DeidConfig, check_models
 from velum.functions.arrays import empty
 from velum.functions.finders import SPAN, pattern_spans
 from velum.functions.mask import mask
 from velum.functions.resolve import resolve
 from velum.operators.models import annotate, intake, intake_spans
 from velum.operators.spans import (
+    distinct_per_document,
     flatten,
-    kept_per_document,
     resolve_spans,
     starts_per_document,
 )
@@ -51,11 +51,14 @@ def find_spans(
     merge: bool = False,
     annotators: dict | None = None,
     model_spans: DataFrame | None = None,
+    skip_models: tuple[str, ...] = (),
 ) -> DataFrame:
     """All found spans, one per row; with ``merge`` only those that resolution keeps.
 
     Model spans come from ``annotators`` (model name -> factory, run in place) or from
-    ``model_spans``, a table of raw spans computed elsewhere."""
+    ``model_spans``, a table of raw spans computed elsewhere. A model of the configuration
+    that has neither raises, unless ``skip_models`` names it."""
+    check_models(config, annotators, model_spans, skip_models)
     documents, spans = _found(documents, config, annotators)
     if model_spans is None:
         return flatten(documents, resolve(spans) if merge else spans)
@@ -69,18 +72,19 @@ def deidentify(
     merge: bool = False,
     annotators: dict | None = None,
     model_spans: DataFrame | None = None,
+    skip_models: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, ``masked_text`` and ``spans`` of each document.
 
     Without ``model_spans`` this is a projection: no shuffle, and it also runs on a
-    stream. ``spans`` are all found spans, or with ``merge`` the kept ones. With a
-    table of model spans only kept ones are given here; ``find_spans`` has all."""
+    stream. ``spans`` are all found spans, or with ``merge`` the kept ones. Of equal spans
+    in a table of model spans one is given here; ``find_spans`` has every copy."""
+    check_models(config, annotators, model_spans, skip_models)
     documents, spans = _found(documents, config, annotators)
     found = documents.selectExpr("doc_id", "text", f"{spans} AS spans")
     if model_spans is not None:
-        if not merge:
-            raise ValueError("with model_spans use merge=True here, or find_spans for all spans")
-        others = starts_per_document(intake_spans(model_spans, config))
+        taken = intake_spans(model_spans, config)
+        others = starts_per_document(taken) if merge else distinct_per_document(taken)
         found = found.join(others, "doc_id", "left").selectExpr(
             "doc_id", "text", f"concat(spans, coalesce(candidates, {empty(SPAN)})) AS spans"
         )
@@ -91,10 +95,12 @@ def deidentify(
 
 
 def remask(documents: DataFrame, spans: DataFrame, config: DeidConfig) -> DataFrame:
-    """Mask documents again from a stored span table, without detection."""
+    """Mask documents again from a stored span table, without detection. Spans are
+    gathered by document, at most one a start, and resolved in the row. Bucket both tables
+    by ``doc_id`` and the texts stay where they are."""
     return (
         documents.select("doc_id", "text")
-        .join(kept_per_document(spans), "doc_id", "left")
-        .selectExpr("doc_id", "text", f"coalesce(kept, {empty(SPAN)}) AS kept")
+        .join(starts_per_document(spans), "doc_id", "left")
+        .selectExpr("doc_id", "text", f"{resolve(f'coalesce(candidates, {empty(SPAN)})')} AS kept")
         .selectExpr("doc_id", _masked(config))
     )

@@ -5,37 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from velum.functions.arrays import rows
-from velum.labels import BIO_KEEP
+from velum.labels import BIO_KEEP, CORPUS_MARKER
 from velum.operators.annotations import (
+    MIN_CHUNK,
     annotation_mask,
     bio_runs,
+    body_tokens,
     labelled,
     sentence_text,
-    sentences,
+    split_corpus,
 )
 
 
 def gold_corpus(
     documents: DataFrame,
-    sentence: int = 1,
     sep: str = " ",
     keep: tuple[str, ...] = BIO_KEEP,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """``doc_id, text, gold, masked_text`` of token/BIO documents. The text is one
-    sentence: number 1 is the body between the dummy first and last one."""
+    """``keys, text, gold, masked_text`` of token/BIO documents. The text is the whole
+    body between the dummy first and last sentence; blank lines in it do not count. A
+    document without the two gives a row with null texts and no spans."""
+    nothing = "cast(NULL AS string)"
     return (
-        documents.selectExpr(
-            "doc_id", f"explode(slice({sentences('text', sep)}, {sentence + 1}, 1)) AS tokens"
-        )
+        documents.selectExpr(*keys, f"{body_tokens('text', sep)} AS tokens")
         .selectExpr(
-            "doc_id",
-            f"{sentence_text('tokens')} AS text",
-            f"{bio_runs(labelled('tokens'), keep)} AS gold",
+            *keys,
+            f"CASE WHEN tokens IS NULL THEN {nothing} ELSE {sentence_text('tokens')} END AS text",
+            f"{bio_runs(labelled('coalesce(tokens, array())'), keep)} AS gold",
         )
-        .selectExpr("doc_id", "text", "gold", f"{annotation_mask('text', 'gold')} AS masked_text")
+        .selectExpr(*keys, "text", "gold", f"{annotation_mask('text', 'gold')} AS masked_text")
     )
 
 
-def gold_rows(corpus: DataFrame) -> DataFrame:
+def gold_from_corpora(
+    corpora: DataFrame,
+    marker: str = CORPUS_MARKER,
+    sep: str = " ",
+    keep: tuple[str, ...] = BIO_KEEP,
+    min_length: int = MIN_CHUNK,
+) -> DataFrame:
+    """Raw corpora (``corpus_id, text``) to ``corpus_id, doc_index, text, gold,
+    masked_text``: cut into documents, read as tokens, runs of tags as spans, masked."""
+    documents = split_corpus(corpora, marker, min_length)
+    return gold_corpus(documents, sep, keep, ("corpus_id", "doc_index"))
+
+
+def gold_rows(corpus: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per gold span of a gold corpus."""
-    return corpus.selectExpr("doc_id", rows("gold")).drop("rank", "seq")
+    return corpus.selectExpr(*keys, rows("gold")).drop("rank", "seq")

@@ -107,8 +107,10 @@ def read_case_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_order() -> Column:
-    """Sort key of ``doc_id``: the digits in it as one number."""
-    return F.regexp_replace("doc_id", "[^0-9]", "").try_cast("long")
+    """Sort key of ``doc_id``: the digits in it as one number of any length, as its number
+    of digits and the digits. Ids without digits come first."""
+    digits = F.regexp_replace(F.regexp_replace("doc_id", "[^0-9]", ""), "^0+(?=[0-9])", "")
+    return F.struct(F.length(digits).alias("n_digits"), digits.alias("digits"))
 
 
 def letter_gold_lines(gold: DataFrame) -> DataFrame:
@@ -213,10 +215,11 @@ def write_gold_corpus(corpus: DataFrame, path: str, per_document: bool = False)
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Write score tables as CSV with a header, one folder per configuration."""
+    """Write score tables as CSV with a header, one folder per configuration. What was
+    there for the same configurations is replaced, other configurations stay."""
     scores.select(*SCORES.names, "config_name").repartition("config_name").write.partitionBy(
         "config_name"
-    ).mode("append").csv(path, header=True)
+    ).mode("overwrite").option("partitionOverwriteMode", "dynamic").csv(path, header=True)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:

@@ -10,8 +10,10 @@ probability of their weighted Jaccard similarity. Two samples make a band and ea
 of bands a key, so texts meet that agree in two bands. Texts that are the same go as one
 from the start. Everything with the same key is compared with one leader instead of with
 each other: pairs whose samples agree often enough are verified by the similarity itself,
-verified pairs are joined into components, and in the next round keys that still hold
-several components get other leaders, until a round finds nothing new."""
+and verified pairs are joined into components. Texts that meet at all form clusters; what
+is not in the largest component of its cluster is then compared with the whole cluster,
+in tiles, so that no link is lost where a leader was the wrong one. Clusters of more than
+``LARGE`` texts get other leaders instead, round by round, until a round finds nothing."""
 
 from __future__ import annotations
 
@@ -30,7 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES = 16
 BAND = 2
-AGREE = 8
+AGREE, LOOSE = 8, 6
+TILE, LARGE = 256, 1 << 16
 ROWS, WIDTH = 3, 1 << 18
 
 
@@ -252,6 +255,110 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return roots
 
 
+def _meetings(buckets: DataFrame, once: DataFrame, roots, turn: int, scratch: Scratch) -> DataFrame:
+    """``a, b, agree``: the members of each key with its leader, and how many of their
+    samples agree, from ``LOOSE`` on. The first leader is the least mark, later ones are
+    drawn anew; keys whose members are all of one component need none."""
+    members = buckets.withColumn("root", F.col("mark"))
+    if roots is not None:
+        members = buckets.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    members = scratch.keep(members, f"members{turn}")
+    rank = F.col("mark") if turn == 0 else F.xxhash64("mark", F.lit(turn))
+    leaders = members.groupBy("key").agg(
+        F.min(F.struct(rank.alias("rank"), "mark", "root")).alias("lead"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+    )
+    leaders = leaders.filter("low < high").select(
+        "key", F.col("lead.mark").alias("leader"), F.col("lead.root").alias("leader_root")
+    )
+    leaders = scratch.keep(leaders, f"leaders{turn}")
+    pairs = (
+        members.join(leaders, "key")
+        .filter("root <> leader_root")
+        .select(F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b"))
+        .distinct()
+    )
+    left = once.select(F.col("mark").alias("a"), F.col("samples").alias("x"))
+    right = once.select(F.col("mark").alias("b"), F.col("samples").alias("y"))
+    agree = F.expr("size(filter(zip_with(x, y, (p, q) -> p = q), e -> e))")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", agree.alias("agree"))
+    met = scratch.keep(met.filter(f"agree >= {LOOSE}"), f"met{turn}")
+    scratch.drop(f"members{turn}", f"leaders{turn}")
+    return met
+
+
+def _clusters(loose: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``mark, cluster, root, size, n_rest, rest``: the clusters of texts that may be
+    similar, with the component of each text and whether that is another one than the
+    largest of its cluster. Clusters of two, and those that are one component, are done."""
+    state = components(loose, scratch, "loose").withColumnRenamed("root", "cluster")
+    state = state.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    state = scratch.keep(state, "state")
+    parts = state.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    totals = parts.groupBy("cluster").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main")
+    )
+    totals = totals.withColumn("n_rest", F.col("size") - F.col("main.n")).filter("size > 2 AND n_rest > 0")
+    totals = scratch.keep(totals.select("cluster", "size", "n_rest", F.col("main.root").alias("main")), "totals")
+    state = state.join(totals, "cluster").withColumn("rest", F.col("root") != F.col("main"))
+    return scratch.keep(state.drop("main"), "cluster-state")
+
+
+def _rest(state: DataFrame, texts: DataFrame, rarity, threshold: float) -> DataFrame:
+    """Links of the texts outside the largest component of their cluster, each compared
+    with all texts of the cluster, in tiles of bounded size. One link is given to each
+    component that a text is linked to."""
+
+    def compare(key, table):
+        table = table.combine_chunks()
+        rest = np.asarray(table["own"])
+        marks, roots = np.asarray(table["mark"]), np.asarray(table["root"])
+        found = Shingles(table["text"])
+        rare = Rarity(*rarity.value)(found.h)
+        n = found.texts
+        sums = np.bincount(found.owner, found.n * rare, n)
+        names, column, times = np.unique(found.h, return_inverse=True, return_counts=True)
+        weight = np.zeros(len(names))
+        weight[column] = rare
+        both = np.zeros((rest.sum(), (~rest).sum()))
+        row = np.where(rest, np.cumsum(rest) - 1, np.cumsum(~rest) - 1)
+        shared = np.flatnonzero(times > 1)
+        for at in range(0, len(shared), 2048):
+            part = shared[at : at + 2048]
+            place = np.full(len(names), -1)
+            place[part] = np.arange(len(part))
+            inside = np.flatnonzero(place[column] >= 0)
+            sides = [np.zeros((m, len(part)), "f8") for m in both.shape]
+            for side, mine in zip(sides, (rest, ~rest)):
+                e = inside[mine[found.owner[inside]]]
+                side[row[found.owner[e]], place[column[e]]] = found.n[e]
+            one, two = sides
+            often = np.minimum(one.max(0, initial=0), two.max(0, initial=0)) > 1
+            once = ~often
+            both += ((one[:, once] > 0) * weight[part][once]) @ (two[:, once] > 0).T
+            for c in np.flatnonzero(often):
+                both += weight[part[c]] * np.minimum.outer(one[:, c], two[:, c])
+        total = sums[rest][:, None] + sums[~rest][None, :] - both
+        linked = (both >= threshold * total) & (total > 0) & (roots[rest][:, None] != roots[~rest][None, :])
+        i, j = np.nonzero(linked)
+        first = np.unique(np.stack((i, roots[~rest][j])), axis=1, return_index=True)[1] if len(i) else i
+        x, y = marks[rest][i[first]], marks[~rest][j[first]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    tiles = F.ceil(F.col("n_rest") / TILE).cast("int"), F.ceil(F.col("size") / (4 * TILE)).cast("int")
+    hashed = F.xxhash64("mark", F.lit(0))
+    every = [F.sequence(F.lit(0), t - 1) for t in tiles]
+    mine = [F.pmod(hashed, t).cast("int") for t in tiles]
+    own = state.filter("rest").select(
+        "mark", "root", "cluster", F.lit(True).alias("own"), mine[0].alias("i"), F.explode(every[1]).alias("j")
+    )
+    others = state.select(
+        "mark", "root", "cluster", F.lit(False).alias("own"), F.explode(every[0]).alias("i"), mine[1].alias("j")
+    )
+    sent = texts.join(own.unionByName(others), "mark")
+    return sent.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _classes(df: DataFrame, text: str, doc_id: str, threshold: float, scratch: Scratch) -> DataFrame:
     """``doc_id, mark, root, n_links``: one row per row of ``df``."""
     whole = F.coalesce(col(text), F.lit(""))
@@ -265,53 +372,32 @@ def _classes(df: DataFrame, text: str, doc_id: str, threshold: float, scratch: S
     keyed = _keyed(once)
     crowded = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     buckets = scratch.keep(keyed.join(crowded, "key", "left_semi"), "buckets")
-    texts, roots, edges, tested, turn = None, None, None, None, 0
-    while True:
-        members = buckets.withColumn("root", F.col("mark"))
-        if roots is not None:
-            members = buckets.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        members = scratch.keep(members, f"members{turn}")
-        # The first leader is the least mark, later ones are drawn anew in every round.
-        rank = F.col("mark") if turn == 0 else F.xxhash64("mark", F.lit(turn))
-        leaders = members.groupBy("key").agg(
-            F.min(F.struct(rank.alias("rank"), "mark", "root")).alias("lead"),
-            F.min("root").alias("low"), F.max("root").alias("high"),
-        )
-        leaders = leaders.filter("low < high").select(
-            "key", F.col("lead.mark").alias("leader"), F.col("lead.root").alias("leader_root")
-        )
-        leaders = scratch.keep(leaders, f"leaders{turn}")
-        pairs = (
-            members.join(leaders, "key")
-            .filter("root <> leader_root")
-            .select(F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left = once.select(F.col("mark").alias("a"), F.col("samples").alias("x"))
-        right = once.select(F.col("mark").alias("b"), F.col("samples").alias("y"))
-        agree = F.expr(f"size(filter(zip_with(x, y, (p, q) -> p = q), e -> e)) >= {AGREE}")
-        close = scratch.keep(
-            pairs.join(left, "a").join(right, "b").filter(agree).select("a", "b"), f"close{turn}"
-        )
-        scratch.drop(f"members{turn}", f"leaders{turn}")
-        if close.isEmpty():
-            break
-        if texts is None:
-            near = buckets.select("mark").distinct()
-            texts = rows.select("mark", "text").join(near, "mark", "left_semi").dropDuplicates(["mark"])
-            texts = scratch.keep(texts, "texts")
-        found = scratch.keep(_verified(close, texts, rarity, threshold), f"links{turn}")
-        tested = close if tested is None else tested.unionByName(close)
-        edges = found if edges is None else edges.unionByName(found)
-        if found.isEmpty():
-            break
-        roots = components(edges, scratch, f"round{turn}")
-        turn += 1
+    loose = _meetings(buckets, once, None, 0, scratch)
+    tested = loose.filter(f"agree >= {AGREE}").select("a", "b")
+    near = buckets.select("mark").distinct()
+    texts = rows.select("mark", "text").join(near, "mark", "left_semi").dropDuplicates(["mark"])
+    texts = scratch.keep(texts, "texts")
+    edges = scratch.keep(_verified(tested, texts, rarity, threshold), "links0")
+    roots = components(edges, scratch, "round0")
+    state = _clusters(loose, roots, scratch)
+    found = _rest(state.filter(f"size <= {LARGE}"), texts, rarity, threshold)
+    found = scratch.keep(found, "rest")
+    edges = edges.unionByName(found)
+    roots, turn = components(edges, scratch, "clusters"), 0
+    large = state.filter(f"size > {LARGE}").select("mark")
+    if not large.isEmpty():
+        buckets = scratch.keep(buckets.join(large, "mark", "left_semi"), "large")
+        while True:
+            turn += 1
+            close = _meetings(buckets, once, roots, turn, scratch).filter(f"agree >= {AGREE}")
+            close = close.select("a", "b").join(tested, ["a", "b"], "left_anti")
+            close = scratch.keep(close, f"close{turn}")
+            found = scratch.keep(_verified(close, texts, rarity, threshold), f"links{turn}")
+            if found.isEmpty():
+                break
+            tested, edges = tested.unionByName(close), edges.unionByName(found)
+            roots = components(edges, scratch, f"round{turn}")
     named = signed.select("doc_id", "mark")
-    if roots is None:
-        return named.withColumns({"root": F.col("mark"), "n_links": F.lit(0).cast("long")})
     links = edges.select(F.explode(F.array("a", "b")).alias("mark")).groupBy("mark").agg(
         F.count("*").alias("n_links")
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velum.operators import annotations as A
-from velum.plans.gold import gold_corpus, gold_rows
+from velum.plans.gold import gold_corpus, gold_from_corpora, gold_rows
 from velum.sources import files
 
 
@@ -127,3 +127,31 @@ def test_readers(spark, tmp_path):
     ]
     with pytest.raises(ValueError):
         files.read_token_texts(spark, path, ";")
+
+
+def test_bodies_are_whole(spark):
+    body = "Visto O\nAldo B-DOCTOR\n\nProva I-DOCTOR\n\n\na B-CITY\n"
+    df = texts(spark, f"h t\n\n{body}\n\nf t", "no body here", "h t\n\n\n\nf t", None)
+    rows = {r.doc_id: r for r in gold_corpus(df).collect()}
+    assert rows["d0"].text == "Visto Aldo Prova a"
+    assert [(g.start, g.end, g.entity_type) for g in rows["d0"].gold] == [(6, 16, "NAME"), (17, 18, "LOC")]
+    assert (rows["d1"].text, rows["d1"].gold, rows["d1"].masked_text) == (None, [], None)
+    assert rows["d2"].text == "" and rows["d3"].text is None
+
+
+def test_from_corpora_to_masks(spark):
+    one = "".join(f"parola{k} O\n" for k in range(8)) + "Aldo B-DOCTOR\n"
+    raw = f"{one}{A.CORPUS_MARKER}corta O\n{A.CORPUS_MARKER}\n{one}\n{one}"
+    df = spark.createDataFrame([(7, raw)], "corpus_id int, text string")
+    corpus = gold_from_corpora(df)
+    rows = sorted((r.corpus_id, r.doc_index, len(r.text.split(" ")), len(r.gold)) for r in corpus.collect())
+    assert rows == [(7, 0, 9, 1), (7, 1, 18, 2)]
+    assert gold_rows(corpus, ("corpus_id", "doc_index")).count() == 3
+    assert gold_from_corpora(df, min_length=5).count() == 3
+
+
+def test_order_of_long_numbers(spark):
+    ids = ["a9", "a10", "x", "b0" + "1" * 25, "b2" + "0" * 24, "a010"]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id string")
+    got = [r.doc_id for r in df.orderBy(files.document_order(), "doc_id").collect()]
+    assert got == ["x", "a9", "a010", "a10", ids[3], ids[4]]

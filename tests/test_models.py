@@ -44,8 +44,9 @@ def test_deidentify_with_table(spark):
     spans = raw(spark).withColumn("end", F.col("end") + (F.col("model") == "john").cast("int"))
     out = velum.deidentify(docs(spark), cfg, merge=True, model_spans=spans).first()
     assert out.masked_text == "<PERSONA> a <INDIRIZZO> <CAP> il <DATA>"
-    with pytest.raises(ValueError):
-        velum.deidentify(docs(spark), cfg, model_spans=spans)
+    twice = velum.deidentify(docs(spark), cfg, model_spans=spans.unionAll(spans)).first()
+    assert twice.masked_text == out.masked_text
+    assert [s.entity_type for s in twice.spans].count("PERSONA") == 1 and len(twice.spans) == 4
     assert velum.find_spans(docs(spark), cfg, model_spans=spans).count() == 4
     assert velum.find_spans(docs(spark), cfg, merge=True, model_spans=spans).count() == 4
 
@@ -56,7 +57,13 @@ def test_annotators_run_in_place(spark):
 
     cfg = velum.DeidConfig.from_dict(MIXED)
     df = docs(spark).unionAll(spark.createDataFrame([("b", None)], "doc_id string, text string"))
-    out = velum.deidentify(df, cfg, annotators={"stanza": people, "unused": None})
+    with pytest.raises(ValueError, match="john, spacy"):
+        velum.deidentify(df, cfg, annotators={"stanza": people})
+    with pytest.raises(ValueError, match="stanza"):
+        velum.find_spans(df, cfg, skip_models=("john", "spacy"))
+    out = velum.deidentify(
+        df, cfg, annotators={"stanza": people, "unused": None}, skip_models=("john", "spacy")
+    )
     rows = {r.doc_id: r for r in out.collect()}
     assert rows["a"].masked_text == "<PERSONA> a Imola 40026 il <DATA>"
     assert rows["b"].masked_text is None
@@ -77,6 +84,27 @@ def test_config(tmp_path):
         {"mask": {"special_character": ""}},
         {"models": {"date": "other"}},
         {"models": {"person": "regex"}},
+        {"models": {"date": "spacy"}},
+        {"models": {"telephone": "stanza"}},
     ):
         with pytest.raises(ValueError):
             velum.DeidConfig.from_dict(bad)
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    """Eight tasks, and no worker with a second load."""
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda text: [(0, 1, "PER", text[:1])]
+
+    cfg = velum.DeidConfig.from_dict({"models": {"person": "stanza"}})
+    df = spark.range(400, numPartitions=40).selectExpr("cast(id AS string) AS doc_id", "'Aldo' AS text")
+    found = velum.find_spans(df, cfg, annotators={"stanza": factory})
+    assert found.count() == 400
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 40

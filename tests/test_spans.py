@@ -18,7 +18,7 @@ REGEX = {
 }
 TEXT = (
     "Paziente di anni 66, visita del 28/06/2022. Tel 349 1234567, a.b@example.it, "
-    "CF ABCDEF97E20E102W, CAP 47122."
+    "CF QWXZKJ61P07M554T, CAP 47122."
 )
 MASKED = {
     "tag": "Paziente di <ETÀ>, visita del <DATA>. Tel <TELEFONO>, <E-MAIL>, CF <CF>, CAP <CAP>.",

@@ -561,3 +561,8 @@ SELECT DISTINCT doc_id, 'document' FROM partial_gold WHERE doc_id NOT IN (SELECT
     "SELECT doc_id, masked_text, coalesce(n, 0) AS n_spans FROM masked LEFT JOIN n USING (doc_id)",
 }
 ORACLE["resolved_stored_spans"] = ORACLE["resolved_spans"]
+# What is written and read again is what was written.
+ORACLE["letter_gold_parsed"] = ORACLE["gold_from_inline_tags"]
+ORACLE["case_gold_parsed"] = ORACLE["bio_runs"]
+ORACLE["records_parsed_json"] = ORACLE["records_parsed_jsonl"] = ORACLE["sentence_records"]
+ORACLE["score_lines_parsed"] = ORACLE["scores_macro"]

@@ -137,6 +137,26 @@ def annotation_mask(spark, sf_dir):
     return _gold_corpora(spark, sf_dir).select("doc_id", "text", "masked_text")
 
 
+def letter_gold_parsed(spark, sf_dir):
+    """Gold lines written and read again."""
+    gold = annotations.gold_from_inline_tags(I.letters_tagged(spark, sf_dir))
+    return _flat(files.letter_gold_from_lines(files.letter_gold_lines(gold)), "entity_type")
+
+
+def case_gold_parsed(spark, sf_dir):
+    lines = files.case_gold_lines(gold_rows(_gold_corpora(spark, sf_dir)))
+    return _flat(files.case_gold_from_lines(lines), "bio_label", "entity_type")
+
+
+def records_parsed(fmt, spark, sf_dir):
+    """Sentence records of a document as one text and back."""
+    records = annotations.sentence_records(I.token_texts(spark, sf_dir))
+    texts = records.select("doc_id", files.records_json(F.col("records"), fmt).alias("value"))
+    back = texts.select("doc_id", files.records_from_json(F.col("value"), fmt).alias("records"))
+    rows = back.selectExpr("doc_id", "posexplode(array_compact(records)) AS (sent_id, r)")
+    return rows.select("doc_id", "sent_id", "r.text", F.size("r.labels").cast("long").alias("n_labels"))
+
+
 def document_order(spark, sf_dir):
     """Every text with its place in the order by document number."""
     order = files.document_order()
@@ -238,6 +258,13 @@ def scores_macro(merge, spark, sf_dir):
     return _rounded(_evaluated(I.REGEX_CONFIG, spark, sf_dir, merge))
 
 
+def score_lines_parsed(spark, sf_dir):
+    """Score lines written and read again."""
+    scores = _evaluated(I.REGEX_CONFIG, spark, sf_dir)
+    line = F.to_csv(F.struct(*files.SCORES.names))
+    return _rounded(files.scores_from_lines(scores.select("config_name", line.alias("value"))))
+
+
 def scores_partial_gold(spark, sf_dir):
     """Gold for some letters only, and some of it without a letter."""
     return _rounded(
@@ -304,6 +331,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentence_json": sentence_json,
     "bio_runs": bio_runs,
     "annotation_mask": annotation_mask,
+    "letter_gold_parsed": letter_gold_parsed,
+    "case_gold_parsed": case_gold_parsed,
+    "records_parsed_json": partial(records_parsed, "json"),
+    "records_parsed_jsonl": partial(records_parsed, "jsonl"),
     "document_order": document_order,
     "model_span_intake": model_span_intake,
     "annotate_models": annotate_models,
@@ -315,6 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scores_document": scores_document,
     "scores_macro": partial(scores_macro, False),
     "scores_macro_resolved": partial(scores_macro, True),
+    "score_lines_parsed": score_lines_parsed,
     "scores_partial_gold": scores_partial_gold,
     "scores_all_configs": scores_all_configs,
     "scores_compare": scores_compare,

@@ -84,26 +84,43 @@ def read_token_texts(spark: SparkSession, path: str, sep: str = " ") -> DataFram
     )
 
 
-def _read_gold(spark, path, schema, sep, shift):
-    rows = (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("pathGlobFilter", "*anon.csv")
-        .csv(path)
+def _fields(lines: DataFrame, schema: T.StructType, sep: str) -> DataFrame:
+    """``lines`` (keys and ``value``) with the fields of each line in place of it."""
+    parsed = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"sep": sep})
+    return lines.withColumn("line", parsed).select(
+        *[c for c in lines.columns if c != "value"], "line.*"
     )
-    columns = [(F.col(c) + shift if c == "end" else F.col(c)).alias(c) for c in schema.names]
+
+
+def letter_gold_from_lines(lines: DataFrame) -> DataFrame:
+    """``doc_id, value`` with a line ``start;last;type`` each, as gold spans."""
+    return _fields(lines, LETTER_GOLD, ";").withColumn("end", F.col("end") + 1)
+
+
+def case_gold_from_lines(lines: DataFrame) -> DataFrame:
+    """``doc_id, value`` with a line ``start,end + 1,label,type`` each, as gold spans."""
+    return _fields(lines, CASE_GOLD, ",").withColumn("end", F.col("end") - 1)
+
+
+def scores_from_lines(lines: DataFrame) -> DataFrame:
+    """``config_name, value`` with a line of the score table each, as scores."""
+    return _fields(lines, SCORES, ",")
+
+
+def _gold_lines(spark: SparkSession, path: str) -> DataFrame:
     doc_id = F.regexp_extract(_file_name(), r"^(.*?)_?anon\.csv", 1)
-    return rows.select(doc_id.alias("doc_id"), *columns)
+    lines = spark.read.option("pathGlobFilter", "*anon.csv").text(path)
+    return lines.select(doc_id.alias("doc_id"), "value").filter("trim(value) <> ''")
 
 
 def read_letter_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold spans ``start;last;type`` from ``<doc_id>_anon.csv`` files."""
-    return _read_gold(spark, path, LETTER_GOLD, ";", 1)
+    return letter_gold_from_lines(_gold_lines(spark, path))
 
 
 def read_case_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold spans ``start,end + 1,label,type`` from ``<doc_id>_anon.csv`` files."""
-    return _read_gold(spark, path, CASE_GOLD, ",", -1)
+    return case_gold_from_lines(_gold_lines(spark, path))
 
 
 def document_order() -> Column:
@@ -119,6 +136,18 @@ def letter_gold_lines(gold: DataFrame) -> DataFrame:
     return gold.select("doc_id", line.alias("value"))
 
 
+def case_gold_lines(gold: DataFrame) -> DataFrame:
+    """Gold spans as ``doc_id`` and one ``start,end + 1,label,type`` line each."""
+    line = F.concat_ws(",", "start", F.col("end") + 1, "bio_label", "entity_type")
+    return gold.select("doc_id", line.alias("value"))
+
+
+def write_letter_gold(gold: DataFrame, path: str) -> None:
+    """Gold spans as lines ``start;last;type``, one folder ``doc_id=<id>`` a document."""
+    lines = gold.repartition("doc_id").sortWithinPartitions("doc_id", "start")
+    letter_gold_lines(lines).write.partitionBy("doc_id").text(path)
+
+
 def record_json(record: Column, fmt: str) -> Column:
     """One sentence record as JSON: its text and ``[start, end + 1, label]`` per
     label. Format ``jsonl`` escapes what is not ASCII."""
@@ -170,11 +199,17 @@ def read_sentence_records(spark: SparkSession, path: str, fmt: str = "json") ->
     files = spark.read.text(path, wholetext=True)
     in_name = F.regexp_extract(_file_name(), r"^(.*?)(?:\.jsonl?)?$", 1)
     doc_id = F.col("doc_id").cast("string") if "doc_id" in files.columns else in_name
-    value = F.col("value")
+    return files.select(doc_id.alias("doc_id"), records_from_json(F.col("value"), fmt).alias("records"))
+
+
+def records_from_json(value: Column, fmt: str) -> Column:
+    """The records of a document from its JSON or JSON-lines text."""
+    if fmt not in RECORD_FORMATS:
+        raise ValueError(f"record format must be one of {RECORD_FORMATS}, not {fmt!r}")
     if fmt == "jsonl":
         lines = F.filter(F.split(value, "\n"), lambda line: F.trim(line) != "")
         value = F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))
-    records = F.transform(
+    return F.transform(
         F.from_json(value, RECORDS),
         lambda r: F.struct(
             r["text"].alias("text"),
@@ -188,7 +223,6 @@ def read_sentence_records(spark: SparkSession, path: str, fmt: str = "json") ->
             ).alias("labels"),
         ),
     )
-    return files.select(doc_id.alias("doc_id"), records.alias("records"))
 
 
 def write_gold_corpus(corpus: DataFrame, path: str, per_document: bool = False) -> None:

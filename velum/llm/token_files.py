@@ -194,12 +194,12 @@ class Reader:
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """Documents in order with their ids."""
-        have, at, k = [], 0, 0
+        have, at, k = [np.empty(0, "<u4")], 0, 0
         for doc_id, known, n in self.documents:
             while at < n:
                 have.append(self.block(k))
                 at, k = at + len(have[-1]), k + 1
-            ids = np.concatenate(have) if len(have) != 1 else have[0]
+            ids = np.concatenate(have) if len(have) > 1 else have[0]
             have, at = [ids[n:]], at - n
             yield (int(doc_id) if known else None), ids[:n]
 

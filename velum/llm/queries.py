@@ -119,4 +119,19 @@ ORACLE = {
             CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INT), '0') END AS shard,
             CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
         FROM fitting WHERE place = 1""",
+    "op10_repeated_windows": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM texts),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM places),
+        least AS (SELECT g, min(doc_id) AS d FROM windows GROUP BY g),
+        hits AS (SELECT doc_id, i FROM windows JOIN least USING (g) WHERE d < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hits, range(0, 13) AS r(k)),
+        words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+        kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+            CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)""",
 }

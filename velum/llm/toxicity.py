@@ -119,7 +119,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 class Scorer:
     """Scores of texts; what a word adds is worked out once."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 150_000
 
     def __init__(self, model: Model):
         self.weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
@@ -149,24 +149,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _sample(docs: DataFrame, at_most: int, fit: Fit) -> DataFrame:
-    """``found``: the features of about ``at_most`` rows, taken by the hash of their
+    """``found``: the features (32-bit numbers) of about ``at_most`` rows, taken by the hash of their
     identifier."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch["text"].slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([_lists([features(t) for t in texts])], names=["found"])
+                found = pa.array([features(t).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([found], names=["found"])
 
     share = at_most / max(docs.count(), at_most)
     chosen = docs.filter(fraction(F.col("doc_id"), F.lit(fit.seed)) < share).select("text")
-    return chosen.mapInArrow(extract, "found array<long>")
+    return chosen.mapInArrow(extract, "found binary")
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("i4")
-    flat = np.concatenate(rows).astype("i8") if rows else np.empty(0, "i8")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _unpacked(found: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "u4") for b in found.to_pylist()]
 
 
 def _telling_rows(sample: DataFrame, fit: Fit) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -176,9 +175,21 @@ def _telling_rows(sample: DataFrame, fit: Fit) -> tuple[list[np.ndarray], list[n
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u:
         return [], []
-    counts = sample.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(
-        F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = _unpacked(part["found"])
+                flat = np.concatenate(rows) if rows else np.empty(0, "u4")
+                toxic = np.repeat(np.asarray(part["toxic"]), [len(r) for r in rows])
+                f, place = np.unique(flat, return_inverse=True)
+                p = np.bincount(place[toxic], minlength=len(f))
+                u = np.bincount(place[~toxic], minlength=len(f))
+                yield pa.RecordBatch.from_pydict({"f": f.astype("i8"), "p": p, "u": u})
+
+    counts = sample.select("toxic", "found").mapInArrow(count, "f long, p long, u long")
+    counts = counts.groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     error = F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u)) + 1e-12
     z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / error
@@ -194,14 +205,12 @@ def _telling_rows(sample: DataFrame, fit: Fit) -> tuple[list[np.ndarray], list[n
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch["found"]
-            rows = np.split(found.flatten().to_numpy(), found.offsets.to_numpy()[1:-1] - found.offsets[0].as_py())
-            kept = _lists([r[np.isin(r, keys)] for r in rows])
+            kept = [r[np.isin(r, keys)].tobytes() for r in _unpacked(batch["found"])]
+            kept = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([batch["toxic"], kept], names=["toxic", "found"])
 
-    narrowed = sample.select("toxic", "found").mapInArrow(narrow, "toxic boolean, found array<long>").toArrow()
-    found = narrowed["found"].to_pylist()
-    rows = [(t, np.array(r, "u4")) for t, r in zip(narrowed["toxic"].to_pylist(), found)]
+    narrowed = sample.select("toxic", "found").mapInArrow(narrow, "toxic boolean, found binary").toArrow()
+    rows = list(zip(narrowed["toxic"].to_pylist(), _unpacked(narrowed["found"])))
     return [r for t, r in rows if t], [r for t, r in rows if not t]
 
 
@@ -241,7 +250,9 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         for batch in batches:
-            scores = pa.array([scorer(t or "") for t in batch.column(at).to_pylist()], pa.float64())
+            # A few texts at a time as strings; the batch itself stays as it came.
+            texts = (t for k in range(0, batch.num_rows, 128) for t in batch.column(at).slice(k, 128).to_pylist())
+            scores = pa.array([scorer(t or "") for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, scores], names=[*batch.schema.names, "toxicity"]
             )

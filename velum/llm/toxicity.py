@@ -148,9 +148,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(remainder == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, at_most: int, fit: Fit) -> DataFrame:
-    """``found``: the features (32-bit numbers) of about ``at_most`` rows, taken by the hash of their
-    identifier."""
+def _chosen(share: float, fit: Fit):
+    return fraction(F.col("doc_id"), F.lit(fit.seed)) < share
+
+
+def _sample(docs: DataFrame) -> DataFrame:
+    """``found``: the features (32-bit numbers) of each row."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +162,7 @@ def _sample(docs: DataFrame, at_most: int, fit: Fit) -> DataFrame:
                 found = pa.array([features(t).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([found], names=["found"])
 
-    share = at_most / max(docs.count(), at_most)
-    chosen = docs.filter(fraction(F.col("doc_id"), F.lit(fit.seed)) < share).select("text")
-    return chosen.mapInArrow(extract, "found binary")
+    return docs.select("text").mapInArrow(extract, "found binary")
 
 
 def _unpacked(found: pa.Array) -> list[np.ndarray]:
@@ -231,9 +232,14 @@ def fit_toxicity(
     n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = min(max(toxic / n, 1e-4), 0.9) if n else 1e-4
     open_rows = rows.filter(~held_out())
-    known = open_rows.join(marks.filter("label = 1").select("doc_id"), "doc_id", "left_semi")
-    sample = _sample(known, fit.positives, fit).withColumn("toxic", F.lit(True))
-    rest = _sample(open_rows, fit.unlabelled, fit).withColumn("toxic", F.lit(False))
+    # Identifiers are sampled before they meet the texts: about ``fit.positives`` of them,
+    # so they can be broadcast at any size of the tables and no text is shuffled.
+    share = fit.positives / max(toxic, fit.positives)
+    ids = marks.filter("label = 1").filter(_chosen(share, fit)).select("doc_id")
+    ids = F.broadcast(scratch.keep(ids, "ids"))
+    sample = _sample(open_rows.join(ids, "doc_id", "left_semi")).withColumn("toxic", F.lit(True))
+    share = fit.unlabelled / max(open_rows.count(), fit.unlabelled)
+    rest = _sample(open_rows.filter(_chosen(share, fit))).withColumn("toxic", F.lit(False))
     positive, unlabelled = _telling_rows(scratch.keep(sample.unionByName(rest), "sample"), fit)
     return train(positive, unlabelled, prior, fit)
 

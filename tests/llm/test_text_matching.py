@@ -63,6 +63,14 @@ def test_reparameterised_items(spark):
     assert [got[i].exact for i in (0, 1, 7)] == [True, False, True]
 
 
+def test_copies_in_another_case(spark):
+    title = "The Old Man Of The Sea Told Élan Vital To Nine Tall Sailors Near Rome"
+    texts = [f"see {t} there" for t in (ITEM.upper(), ITEM.lower(), title.upper(), title.lower(), title.title())]
+    got = contaminated(spark, [*texts, "see The Old Man there"], [ITEM, title])
+    assert [got[i].contaminated and got[i].exact for i in range(6)] == [True] * 5 + [False]
+    assert [got[i].item_id for i in range(5)] == [0, 0, 1, 1, 1]
+
+
 def test_short_and_empty_items(spark):
     got = contaminated(spark, ["so it is short and sweet indeed", "so it is"], ["short and sweet", "", None, "12 Anna"])
     assert got[0].contaminated and not got[1].contaminated

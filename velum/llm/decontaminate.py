@@ -5,7 +5,9 @@ become typed placeholders; what is left, in lower case, is the template. Windows
 document's template are joined by hash with those of the benchmark, so a question whose
 names and figures were exchanged still meets its original. Then the slots are compared: on
 one alignment of document and item each value of the item must always stand for the same
-value of the document.
+value of the document. In the same join each window also goes by its values in lower case,
+whatever they are, so a copy is found in any case of letters and however few of its tokens
+are literal.
 
 A table of 2^24 bits made from the benchmark's hashes lets nearly all windows of a
 document go before they leave the task; its size is fixed, and what passes is joined
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ UNITS = (
     "degrees mph kmh w kw v hz mb gb"
 ).split()
 NUM, NAME, UNIT = (np.uint64(n) for n in (1, 2, 3))
+# Keeps hashes of values apart from those of templates.
+VALUES = np.uint64(0xA0761D6478BD642F)
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -48,19 +53,35 @@ def _units() -> np.ndarray:
     return np.sort(Stretches(LOWER[data])(at[:-1], at[1:]))
 
 
+def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = LETTER[data]
+    if len(data) > 2:
+        # A point or comma between digits belongs to the number.
+        inner = POINT[data[1:-1]] & DIGIT[data[:-2]] & DIGIT[data[2:]]
+        inside[1:-1] |= inner
+    return runs(inside, at)
+
+
+def _lower(texts, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens in lower case. Lower case maps letters to letters, so the
+    tokens stay the same ones; bytes that are no UTF-8 are lowered as ASCII."""
+    if (data > 127).any():
+        try:
+            data, at = buffer(pc.utf8_lower(texts))
+            start, end = _tokens(data, at)
+        except pa.ArrowInvalid:
+            pass
+    return Stretches(LOWER[data])(start, end)
+
+
 class Template:
     """Tokens of some texts: template codes, exact values, and which ones are slots."""
 
     def __init__(self, texts):
         data, at = buffer(texts)
-        inside = LETTER[data]
-        if len(data) > 2:
-            # A point or comma between digits belongs to the number.
-            inner = POINT[data[1:-1]] & DIGIT[data[:-2]] & DIGIT[data[2:]]
-            inside[1:-1] |= inner
-        start, end = runs(inside, at)
+        start, end = _tokens(data, at)
         self.first = np.searchsorted(start, at)
-        low = Stretches(LOWER[data])(start, end)
+        low = _lower(texts, data, start, end)
         head = data[start]
         second = data[np.minimum(start + 1, len(data) - 1)] if len(data) else head
         number = DIGIT[head]
@@ -73,16 +94,35 @@ class Template:
         self.value = low
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of windows in which enough tokens are literal."""
+        """Places and hashes of templates in which enough tokens are literal."""
         place, found = windows(self.code, self.first, n)
         slots = np.concatenate(([0], np.cumsum(self.slot)))
         enough = n - (slots[place + n] - slots[place]) >= LITERALS * n
         return place[enough], found[enough]
 
+    def exact(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all windows and hashes of their values."""
+        place, found = windows(self.value, self.first, n)
+        return place, found ^ VALUES
+
 
 ROWS = "row long, n int, h long, place int, slots array<long>"
 
 
+def _exact_rows(found: Template, place, n: int, h, rows: np.ndarray) -> pa.RecordBatch:
+    """Windows by their values have no slots (null)."""
+    owner = np.searchsorted(found.first, place, "right") - 1
+    return pa.RecordBatch.from_pydict(
+        {
+            "row": rows[owner],
+            "n": np.full(len(place), n, "i4"),
+            "h": h.view("i8"),
+            "place": (place - found.first[owner]).astype("i4"),
+            "slots": pa.nulls(len(place), pa.list_(pa.int64())),
+        }
+    )
+
+
 def _window_rows(found: Template, place, n: int, h, rows: np.ndarray) -> pa.RecordBatch:
     owner = np.searchsorted(found.first, place, "right") - 1
     index = place[:, None] + np.arange(n)
@@ -108,16 +148,14 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 found, rows = Template(piece.column("text")), np.asarray(piece.column("row"))
-                place, h = found.windows(window)
-                if len(place):
-                    yield _window_rows(found, place, window, h, rows)
                 sizes = np.diff(found.first)
-                for n in np.unique(sizes[(sizes > 0) & (sizes < window)]):
-                    place, h = found.windows(int(n))
-                    owner = np.searchsorted(found.first, place, "right") - 1
-                    whole = sizes[owner] == n
-                    if whole.any():
-                        yield _window_rows(found, place[whole], int(n), h[whole], rows)
+                for n in (window, *np.unique(sizes[(sizes > 0) & (sizes < window)]).tolist()):
+                    for cut_out, as_rows in ((found.windows, _window_rows), (found.exact, _exact_rows)):
+                        place, h = cut_out(n)
+                        owner = np.searchsorted(found.first, place, "right") - 1
+                        whole = (sizes[owner] == n) | (n == window)
+                        if whole.any():
+                            yield as_rows(found, place[whole], n, h[whole], rows)
 
     return items.select("row", "text").mapInArrow(cut, ROWS)
 
@@ -132,11 +170,12 @@ def document_windows(docs: DataFrame, sieve: np.ndarray, lengths: list[int]) ->
             for piece in pieces(batch):
                 found, rows = Template(piece.column("text")), np.asarray(piece.column("row"))
                 for n in lengths:
-                    place, h = found.windows(n)
-                    key = h >> np.uint64(64 - SIEVE_BITS)
-                    hit = (bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype("u1")) & 1 > 0
-                    if hit.any():
-                        yield _window_rows(found, place[hit], n, h[hit], rows)
+                    for cut_out, as_rows in ((found.windows, _window_rows), (found.exact, _exact_rows)):
+                        place, h = cut_out(n)
+                        key = h >> np.uint64(64 - SIEVE_BITS)
+                        hit = (bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype("u1")) & 1 > 0
+                        if hit.any():
+                            yield as_rows(found, place[hit], n, h[hit], rows)
 
     return docs.select("row", "text").mapInArrow(cut, ROWS)
 
@@ -158,8 +197,8 @@ def contamination(
     hash of identifier and text (``row``), with the matching windows of their best
     alignment and whether a window has the item's own values.
 
-    An alignment counts if one of its windows is exact, or if it has two windows and all
-    its slots are consistent. Texts and items that are null or without words match
+    An alignment counts if one of its windows is exact, in any case of letters, or if it
+    has two templates and all its slots are consistent. Texts and items that are null or without words match
     nothing."""
     scratch = scratch or Scratch(docs.sparkSession)
     items = benchmark.select(col(item_id).cast("long").alias("row"), col(item_text).alias("text"))
@@ -187,11 +226,12 @@ def contamination(
     )
     aligned = met.groupBy(*key).agg(
         F.countDistinct("place").alias("n_windows"),
-        F.coalesce(F.some(F.col("ours") == F.col("theirs")), F.lit(False)).alias("exact"),
+        F.countDistinct(F.when(F.isnotnull("theirs"), F.col("place"))).alias("n_templates"),
+        F.some(F.isnull("theirs") | (F.col("ours") == F.col("theirs"))).alias("exact"),
     )
     return (
         aligned.join(slots, list(key), "left")
-        .filter("exact OR (n_windows > 1 AND coalesce(consistent, true))")
+        .filter("exact OR (n_templates > 1 AND coalesce(consistent, true))")
         .groupBy("row", "item_id")
         .agg(F.max("n_windows").alias("n_windows"), F.max("exact").alias("exact"))
     )

@@ -71,6 +71,22 @@ def test_copies_in_another_case(spark):
     assert [got[i].item_id for i in range(5)] == [0, 0, 1, 1, 1]
 
 
+def test_short_items_with_other_values(spark):
+    short = "How many apples does Anna have after Anna buys 12?"
+    # The only window of twelve tokens with enough literal ones is the first.
+    long = "in the town of Ulm Rhein Anna saw Bruno 1 Carl Dora Emil Franz 2 3 4"
+    texts = [
+        "So: How many apples does Dora have after Dora buys 950? Tell me.",
+        "So: How many apples does Dora have after Emil buys 950? Tell me.",
+        "So: How many apples does Dora eat after Dora buys 950? Tell me.",
+        "Then in the town of Rom Tiber Bea saw Cleo 7 Xaver Yann",
+        "What is 18 + 26?", "Why is 17 + 25?", "what IS 17 + 25",
+    ]
+    got = contaminated(spark, texts, [short, long, "What is 17 + 25?"])
+    assert [got[i].contaminated for i in range(7)] == [True, False, False, True, False, False, True]
+    assert [got[i].exact for i in (0, 3, 6)] == [False, False, True]
+
+
 def test_short_and_empty_items(spark):
     got = contaminated(spark, ["so it is short and sweet indeed", "so it is"], ["short and sweet", "", None, "12 Anna"])
     assert got[0].contaminated and not got[1].contaminated

@@ -28,6 +28,8 @@ from velum.llm.shared import Scratch, col
 
 WINDOW = 12
 LITERALS = 0.4
+# Literal tokens from which the only template of an item is enough by itself.
+ALONE = 5
 SIEVE_BITS = 24
 # Units of measure and money.
 UNITS = (
@@ -107,6 +109,7 @@ class Template:
 
 
 ROWS = "row long, n int, h long, place int, slots array<long>"
+ITEM_ROWS = f"{ROWS}, alone boolean"
 
 
 def _exact_rows(found: Template, place, n: int, h, rows: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +145,8 @@ def _window_rows(found: Template, place, n: int, h, rows: np.ndarray) -> pa.Reco
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of benchmark items (``row`` and ``text``): all of ``window`` tokens, and
-    for shorter items the item as one."""
+    for shorter items the item as one. ``alone`` is a template that is its item's only
+    one and has enough literal tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +159,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         owner = np.searchsorted(found.first, place, "right") - 1
                         whole = (sizes[owner] == n) | (n == window)
                         if whole.any():
-                            yield as_rows(found, place[whole], n, h[whole], rows)
+                            out = as_rows(found, place[whole], n, h[whole], rows)
+                            only = np.bincount(owner[whole], minlength=len(rows))[owner[whole]] == 1
+                            slots = pc.fill_null(pc.list_value_length(out["slots"]), n).to_numpy()
+                            yield out.append_column("alone", pa.array(only & (n - slots >= ALONE)))
 
-    return items.select("row", "text").mapInArrow(cut, ROWS)
+    return items.select("row", "text").mapInArrow(cut, ITEM_ROWS)
 
 
 def document_windows(docs: DataFrame, sieve: np.ndarray, lengths: list[int]) -> DataFrame:
@@ -198,7 +205,8 @@ def contamination(
     alignment and whether a window has the item's own values.
 
     An alignment counts if one of its windows is exact, in any case of letters, or if it
-    has two templates and all its slots are consistent. Texts and items that are null or without words match
+    has two templates, or the only one of the item with ``ALONE`` literal tokens, and all
+    its slots are consistent. Texts and items that are null or without words match
     nothing."""
     scratch = scratch or Scratch(docs.sparkSession)
     items = benchmark.select(col(item_id).cast("long").alias("row"), col(item_text).alias("text"))
@@ -212,7 +220,7 @@ def contamination(
             F.col("d.row").alias("row"), F.col("b.row").alias("item_id"),
             (F.col("d.place") - F.col("b.place")).alias("shift"),
             F.col("d.place").alias("place"),
-            F.col("d.slots").alias("ours"), F.col("b.slots").alias("theirs"),
+            F.col("d.slots").alias("ours"), F.col("b.slots").alias("theirs"), "alone",
         ),
         "met",
     )
@@ -227,11 +235,12 @@ def contamination(
     aligned = met.groupBy(*key).agg(
         F.countDistinct("place").alias("n_windows"),
         F.countDistinct(F.when(F.isnotnull("theirs"), F.col("place"))).alias("n_templates"),
+        F.some("alone").alias("alone"),
         F.some(F.isnull("theirs") | (F.col("ours") == F.col("theirs"))).alias("exact"),
     )
     return (
         aligned.join(slots, list(key), "left")
-        .filter("exact OR (n_templates > 1 AND coalesce(consistent, true))")
+        .filter("exact OR ((n_templates > 1 OR alone) AND coalesce(consistent, true))")
         .groupBy("row", "item_id")
         .agg(F.max("n_windows").alias("n_windows"), F.max("exact").alias("exact"))
     )

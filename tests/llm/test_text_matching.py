@@ -87,6 +87,17 @@ def test_short_items_with_other_values(spark):
     assert [got[i].exact for i in (0, 3, 6)] == [False, False, True]
 
 
+def test_copies_poor_in_literals(spark):
+    items = [
+        "What is 17 + 25 * 3 - 48 / 6?", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16",
+        "Anna Bruno Carl Dora Emil Franz Gustav Hanna Ida Jan Karl Lena Max Nora",
+    ]
+    texts = [f"before it {t} and after" for t in items] + ["What is 17 + 25 * 3 - 48 / 7?", "Anna Bruno Carl Dora"]
+    got = contaminated(spark, texts, items)
+    assert [got[i].item_id for i in range(5)] == [0, 1, 2, None, None]
+    assert all(got[i].exact for i in range(3))
+
+
 def test_short_and_empty_items(spark):
     got = contaminated(spark, ["so it is short and sweet indeed", "so it is"], ["short and sweet", "", None, "12 Anna"])
     assert got[0].contaminated and not got[1].contaminated

@@ -40,6 +40,18 @@ def test_encoder_splits_like_the_tokenizer(tokenizer):
     assert encode(texts) == want
 
 
+def test_added_tokens(spark):
+    plain = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a b <|endoftext|> c<|endoftext|>", "<|endoftext>", "a  b"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    encode = Encoder(open(PATH, encoding="utf-8").read())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files(docs, PATH).collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4"))) for k, x in enumerate(want)}
+
+
 def test_file_round_trip():
     rnd = np.random.default_rng(1)
     documents = [(k, rnd.integers(0, 1 << 32, n, dtype="u4")) for k, n in enumerate([0, 1, BLOCK, 3 * BLOCK + 5, 7, 0])]

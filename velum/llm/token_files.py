@@ -60,8 +60,8 @@ class Encoder:
     The byte-level tokenizer splits a text into pieces by ``PIECES`` and its model encodes
     each by itself, and a blank that a non-blank follows starts a piece. So words are looked up,
     unknown ones are split into pieces, and only unknown pieces go to the library. Both
-    tables start anew when they are full. Texts with two blanks in a row are encoded as
-    they are."""
+    tables start anew when they are full. Texts with two blanks in a row, and those that
+    hold one of the tokenizer's added tokens, are encoded as they are."""
 
     # Fixed value: how this family of tokenizers splits a text.
     PIECES = (
@@ -74,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = ["  ", *filter(None, added)]
         self.model = self.tokenizer.model
         self.findall = regex.compile(self.PIECES).findall
         self.words: dict[str, bytes] = {}
@@ -106,7 +107,7 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t else t.split(" ") for t in texts]
+        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
         seen: set[str] = set()
         for words in split:
             if words:

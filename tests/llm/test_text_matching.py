@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from velum.llm import repeated_windows, suffix_dedup
+from velum.llm import near_dedup, repeated_windows, suffix_dedup
 from velum.llm.arrays import Words, within
 from velum.llm.decontaminate import Template, drop_contaminated, mark_contaminated
 from velum.llm.near_dedup import (
@@ -223,6 +223,25 @@ def test_chains_of_near_copies(spark):
     assert all(got[100 + k].class_id == 100 + k for k in range(20))
 
 
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """Pairs in a cluster that a passage holds together, similar only to each other, many
+    with fewer equal samples than ``AGREE``."""
+    rnd = random.Random(6)
+    new = lambda n: [f"w{rnd.randrange(10**8)}" for _ in range(n)]
+    passage, texts = new(240), []
+    for _ in range(80):
+        own = new(40)
+        texts += [passage + own + new(40) for _ in range(2)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for large in (1 << 16, 8):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs, threshold=0.6).collect()}
+        found.append([got[k] for k in range(len(texts))])
+    assert same_partition(*found)
+    assert set(Counter(found[1]).values()) <= {1, 2} and len(set(found[1])) <= 84
+
+
 def test_keep_one(docs, rows, no_docs):
     classes = near_duplicates(docs).collect()
     kept = keep_one(docs)

@@ -13,7 +13,9 @@ each other: pairs whose samples agree often enough are verified by the similarit
 and verified pairs are joined into components. Texts that meet at all form clusters; what
 is not in the largest component of its cluster is then compared with the whole cluster,
 in tiles, so that no link is lost where a leader was the wrong one. Clusters of more than
-``LARGE`` texts get other leaders instead, round by round, until a round finds nothing."""
+``LARGE`` texts are divided first, by the shingles that are rare in the cluster, in such a
+way that every pair that is similar enough is together in some part: this saves
+comparisons and loses none."""
 
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velum.llm.arrays import LOWER, PIECE_BYTES, Words, draws, mix, pieces
@@ -255,26 +257,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return roots
 
 
-def _meetings(buckets: DataFrame, once: DataFrame, roots, turn: int, scratch: Scratch) -> DataFrame:
-    """``a, b, agree``: the members of each key with its leader, and how many of their
-    samples agree, from ``LOOSE`` on. The first leader is the least mark, later ones are
-    drawn anew; keys whose members are all of one component need none."""
-    members = buckets.withColumn("root", F.col("mark"))
-    if roots is not None:
-        members = buckets.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    members = scratch.keep(members, f"members{turn}")
-    rank = F.col("mark") if turn == 0 else F.xxhash64("mark", F.lit(turn))
-    leaders = members.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "mark", "root")).alias("lead"),
-        F.min("root").alias("low"), F.max("root").alias("high"),
-    )
-    leaders = leaders.filter("low < high").select(
-        "key", F.col("lead.mark").alias("leader"), F.col("lead.root").alias("leader_root")
-    )
-    leaders = scratch.keep(leaders, f"leaders{turn}")
+def _meetings(buckets: DataFrame, once: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b, agree``: the members of each key with its least mark as leader, and how
+    many of their samples agree, from ``LOOSE`` on."""
+    leaders = buckets.groupBy("key").agg(F.min("mark").alias("leader"))
+    leaders = scratch.keep(leaders, "leaders")
     pairs = (
-        members.join(leaders, "key")
-        .filter("root <> leader_root")
+        buckets.join(leaders, "key")
+        .filter("mark <> leader")
         .select(F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b"))
         .distinct()
     )
@@ -282,8 +272,8 @@ def _meetings(buckets: DataFrame, once: DataFrame, roots, turn: int, scratch: Sc
     right = once.select(F.col("mark").alias("b"), F.col("samples").alias("y"))
     agree = F.expr("size(filter(zip_with(x, y, (p, q) -> p = q), e -> e))")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", agree.alias("agree"))
-    met = scratch.keep(met.filter(f"agree >= {LOOSE}"), f"met{turn}")
-    scratch.drop(f"members{turn}", f"leaders{turn}")
+    met = scratch.keep(met.filter(f"agree >= {LOOSE}"), "met")
+    scratch.drop("leaders")
     return met
 
 
@@ -293,15 +283,51 @@ def _clusters(loose: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame
     largest of its cluster. Clusters of two, and those that are one component, are done."""
     state = components(loose, scratch, "loose").withColumnRenamed("root", "cluster")
     state = state.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    state = scratch.keep(state, "state")
+    return _unsettled(scratch.keep(state, "state"), 3, scratch, "cluster")
+
+
+def _unsettled(state: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame:
+    """The clusters (``mark, cluster, root``) of ``least`` texts or more that are not one
+    component, with ``size, n_rest, rest``."""
     parts = state.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     totals = parts.groupBy("cluster").agg(
         F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main")
     )
-    totals = totals.withColumn("n_rest", F.col("size") - F.col("main.n")).filter("size > 2 AND n_rest > 0")
-    totals = scratch.keep(totals.select("cluster", "size", "n_rest", F.col("main.root").alias("main")), "totals")
+    totals = totals.withColumn("n_rest", F.col("size") - F.col("main.n")).filter(f"size >= {least} AND n_rest > 0")
+    totals = scratch.keep(totals.select("cluster", "size", "n_rest", F.col("main.root").alias("main")), f"{name}-totals")
     state = state.join(totals, "cluster").withColumn("rest", F.col("root") != F.col("main"))
-    return scratch.keep(state.drop("main"), "cluster-state")
+    return scratch.keep(state.drop("main"), f"{name}-state")
+
+
+def _divided(state: DataFrame, texts: DataFrame, rarity, threshold: float, scratch: Scratch) -> DataFrame:
+    """Large clusters divided into parts, one for each shingle, as ``_unsettled`` has them.
+
+    The shingles of a text are put in order, those in the fewest texts of the cluster first,
+    and it goes into the parts of its first ones, as long as what is from there on holds
+    the share ``threshold`` of its weight. Of the shingles that two similar texts share, the first
+    one is among these for both, since what they share is all behind it and holds that
+    share of each; so each such pair is in a part."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Rarity(*rarity.value)
+        for batch in batches:
+            for piece in pieces(batch):
+                found = Shingles(piece.column("text"))
+                own = {c: piece.column(c).take(pa.array(found.owner)) for c in ("mark", "cluster", "root")}
+                w = found.n * weigh(found.h)
+                yield from pa.table({**own, "h": found.h.view("i8"), "w": w}).to_batches(1 << 16)
+
+    sent = texts.join(state.select("mark", "cluster", "root"), "mark").select("mark", "cluster", "root", "text")
+    rows = sent.mapInArrow(shingles, "mark long, cluster long, root long, h long, w double")
+    rows = scratch.keep(rows, "shingles")
+    often = rows.groupBy("cluster", "h").agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("mark")
+    behind = whole.orderBy(F.desc("k"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
+    # A little less than the share, for sums that are rounded.
+    enough = F.sum("w").over(behind) >= threshold * (1 - 1e-9) * F.sum("w").over(whole)
+    first = rows.join(often, ["cluster", "h"]).withColumn("first", enough).filter("first AND k > 1")
+    parts = first.select("mark", F.xxhash64("cluster", "h").alias("cluster"), "root").distinct()
+    return _unsettled(scratch.keep(parts, "parts"), 2, scratch, "part")
 
 
 def _rest(state: DataFrame, texts: DataFrame, rarity, threshold: float) -> DataFrame:
@@ -372,7 +398,7 @@ def _classes(df: DataFrame, text: str, doc_id: str, threshold: float, scratch: S
     keyed = _keyed(once)
     crowded = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     buckets = scratch.keep(keyed.join(crowded, "key", "left_semi"), "buckets")
-    loose = _meetings(buckets, once, None, 0, scratch)
+    loose = _meetings(buckets, once, scratch)
     tested = loose.filter(f"agree >= {AGREE}").select("a", "b")
     near = buckets.select("mark").distinct()
     texts = rows.select("mark", "text").join(near, "mark", "left_semi").dropDuplicates(["mark"])
@@ -380,23 +406,14 @@ def _classes(df: DataFrame, text: str, doc_id: str, threshold: float, scratch: S
     edges = scratch.keep(_verified(tested, texts, rarity, threshold), "links0")
     roots = components(edges, scratch, "round0")
     state = _clusters(loose, roots, scratch)
-    found = _rest(state.filter(f"size <= {LARGE}"), texts, rarity, threshold)
+    fit, large = state.filter(f"size <= {LARGE}"), state.filter(f"size > {LARGE}")
+    found = _rest(fit, texts, rarity, threshold)
+    if not large.isEmpty():
+        parts = _divided(large, texts, rarity, threshold, scratch)
+        found = found.unionByName(_rest(parts, texts, rarity, threshold)).distinct()
     found = scratch.keep(found, "rest")
     edges = edges.unionByName(found)
-    roots, turn = components(edges, scratch, "clusters"), 0
-    large = state.filter(f"size > {LARGE}").select("mark")
-    if not large.isEmpty():
-        buckets = scratch.keep(buckets.join(large, "mark", "left_semi"), "large")
-        while True:
-            turn += 1
-            close = _meetings(buckets, once, roots, turn, scratch).filter(f"agree >= {AGREE}")
-            close = close.select("a", "b").join(tested, ["a", "b"], "left_anti")
-            close = scratch.keep(close, f"close{turn}")
-            found = scratch.keep(_verified(close, texts, rarity, threshold), f"links{turn}")
-            if found.isEmpty():
-                break
-            tested, edges = tested.unionByName(close), edges.unionByName(found)
-            roots = components(edges, scratch, f"round{turn}")
+    roots = components(edges, scratch, "clusters")
     named = signed.select("doc_id", "mark")
     links = edges.select(F.explode(F.array("a", "b")).alias("mark")).groupBy("mark").agg(
         F.count("*").alias("n_links")

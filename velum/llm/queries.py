@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velum.llm.collocations import collocations
 from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.mixing import mixed_sizes
@@ -83,6 +84,10 @@ def op10_repeated_windows(spark, sf_dir):
     return dedup_windows(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeated_windows": op10_repeated_windows,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
@@ -134,4 +140,46 @@ ORACLE = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
             CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+        grams AS (
+            SELECT lang, 1 AS k, ws[i] AS phrase FROM places
+            UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM places WHERE i + 1 <= len(ws)
+            UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM places WHERE i + 2 <= len(ws)),
+        f AS MATERIALIZED (
+            SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING f >= 10 OR k = 1),
+        sizes AS MATERIALIZED (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        cuts AS MATERIALIZED (
+            SELECT lang, k, phrase, f AS a, 1 AS cut, split_part(phrase, ' ', 1) AS x,
+                substr(phrase, strpos(phrase, ' ') + 1) AS y
+            FROM f WHERE k > 1
+            UNION ALL
+            SELECT lang, k, phrase, f, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2),
+                split_part(phrase, ' ', 3)
+            FROM f WHERE k = 3),
+        lefts AS MATERIALIZED (
+            SELECT c.*, g.f AS l FROM cuts c JOIN f g ON g.lang = c.lang AND g.phrase = c.x),
+        halves AS MATERIALIZED (
+            SELECT c.*, g.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * g.f) AS BIGINT) AS score
+            FROM lefts c JOIN f g ON g.lang = c.lang AND g.phrase = c.y),
+        scored AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM halves),
+        longer AS MATERIALIZED (
+            SELECT lang, part, max(a) AS longer
+            FROM (
+                SELECT lang, a, x AS part FROM cuts WHERE k = 3 AND cut = 2
+                UNION ALL SELECT lang, a, y FROM cuts WHERE k = 3 AND cut = 1)
+            GROUP BY ALL),
+        free AS (
+            SELECT s.* FROM scored s LEFT JOIN longer p ON p.lang = s.lang AND p.part = s.phrase
+            WHERE place = 1 AND (p.longer IS NULL OR 100 * p.longer < 50 * s.a)),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
 }

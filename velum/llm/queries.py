@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from velum.llm.collocations import collocations
 from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
+from velum.llm.hard_negatives import hard_negatives
 from velum.llm.mixing import mixed_sizes
 from velum.llm.near_dedup import near_duplicates
 from velum.llm.repeated_windows import dedup_windows
@@ -84,6 +85,13 @@ def op10_repeated_windows(spark, sf_dir):
     return dedup_windows(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    def relabel(vec_id, label):
+        return F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), relabel=relabel)
+
+
 def op13_collocations(spark, sf_dir):
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeated_windows": op10_repeated_windows,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_collocations": op13_collocations,
 }
 
@@ -140,6 +149,29 @@ ORACLE = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
             CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": r"""
+        WITH sound AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS MATERIALIZED (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score,
+                row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place
+            FROM scores WHERE same),
+        ranked AS (
+            SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                CAST(row_number() OVER (
+                    PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+            FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id
+            WHERE place <= 5 AND NOT same AND 30 * positive_score <= 100 * score
+                AND 100 * score <= 90 * positive_score)
+        SELECT * FROM ranked WHERE rank <= 10""",
     "op13_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(

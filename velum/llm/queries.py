@@ -11,6 +11,7 @@ from velum.llm.collocations import collocations
 from velum.llm.decontaminate import mark_contaminated
 from velum.llm.exact_dedup import exact_dedup
 from velum.llm.hard_negatives import hard_negatives
+from velum.llm.main_text import main_text
 from velum.llm.mixing import mixed_sizes
 from velum.llm.near_dedup import near_duplicates
 from velum.llm.repeated_windows import dedup_windows
@@ -92,6 +93,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(_table(spark, sf_dir, "embeddings"), relabel=relabel)
 
 
+def op12_main_text(spark, sf_dir):
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark, sf_dir):
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_repeated_windows": op10_repeated_windows,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_main_text": op12_main_text,
     "op13_collocations": op13_collocations,
 }
 

@@ -55,4 +55,8 @@ PAGES = (
     f"<body>{HEADER}<section class='story' data-main><h1>Bridges</h1>{SHORT}{_not(ADVERT)}{P}</section>{REPLIES}{FOOT}</body>",
     f"<body>{P.replace('<p>', '<p data-main>')}</body>",
     f"<body>{NAV}{FORM}{FOOT}</body>",
+    f"<body data-main>{SENTENCES[0]}<br>{SENTENCES[2]}</body>",
+    " ".join(SENTENCES),
+    SENTENCES[4],
+    "Nothing but a line, or two. No elements at all.",
 )

@@ -217,10 +217,10 @@ def fit(trees: Forest, labels: np.ndarray, weight: np.ndarray, rounds: int = 150
 
 
 def marked_labels(page: Page) -> np.ndarray:
-    """Labels from ``data-main`` and ``data-not``."""
-    labels = np.zeros(len(page.tag), "i8")
+    """Labels from ``data-main`` and ``data-not``; a page without any markup is all main."""
+    labels = np.full(len(page.tag), int(all(t[0] == "#" for t in page.tag)))
     for v, a in enumerate(page.attributes):
-        above = labels[page.parent[v]] if v else 0
+        above = labels[page.parent[v]] if v else labels[0]
         labels[v] = 0 if "data-not" in a else 1 if "data-main" in a else above
     return labels
 

@@ -23,9 +23,7 @@ PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 def test_encoder_splits_like_the_tokenizer(tokenizer):

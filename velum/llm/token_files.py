@@ -85,25 +85,38 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a text; letters with marks behind them, most words, need no regex."""
-        bare = text.rstrip(self.MARKS)
-        if bare.removeprefix(" ").isalpha():
-            return [bare, text[len(bare) :]] if len(bare) < len(text) else [bare]
-        return self.findall(text)
-
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        # Printable ASCII is listed as it is; only the blank has another letter.
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", BYTE_LETTERS[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _known(self, piece: str) -> bytes:
+        """The ids of a piece, from the table or the library."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._piece(piece)
+            if len(piece) <= self.LONGEST:
+                self.pieces[piece] = ids
+        return ids
+
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        fresh = {p for ps in split for p in ps}.difference(self.pieces)
-        found = {p: self._piece(p) for p in fresh}
-        out = [b"".join([found.get(p) or self.pieces[p] for p in ps]) for ps in split]
-        self.pieces.update((p, ids) for p, ids in found.items() if len(p) <= self.LONGEST)
+        out, known, marks, findall = [], self._known, self.MARKS, self.findall
         if len(self.pieces) > self.MOST_PIECES:
             self.pieces.clear()
+        for text in texts:
+            # Letters with marks behind them, most words, need no regex; the letters of
+            # such a word are seldom in another one, so they go past the table.
+            bare = text.rstrip(marks)
+            if bare.removeprefix(" ").isalpha():
+                if len(bare) == len(text):
+                    out.append(self._piece(text))
+                else:
+                    out.append(known(bare) + known(text[len(bare) :]))
+            else:
+                out.append(b"".join(map(known, findall(text))))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -115,15 +128,16 @@ class Encoder:
         if len(self.words) > self.MOST_WORDS:
             self.words.clear()
         fresh = list(seen.difference(self.words))
-        found = dict(zip(fresh, self._by_pieces([" " + w for w in fresh])))
-        self.words.update((w, ids) for w, ids in found.items() if len(w) <= self.LONGEST)
-        long = {w: ids for w, ids in found.items() if len(w) > self.LONGEST}
+        self.words.update(zip(fresh, self._by_pieces([" " + w for w in fresh])))
         first = iter(self._by_pieces([words[0] for words in split if words]))
         whole = iter(self.encode([t for t, words in zip(texts, split) if not words]))
-        get = self.words.__getitem__ if not long else lambda w: long.get(w) or self.words[w]
-        return [
-            next(first) + b"".join(map(get, words[1:])) if words else next(whole) for words in split
-        ]
+        get = self.words.__getitem__
+        out = [next(first) + b"".join(map(get, words[1:])) if words else next(whole) for words in split]
+        # Long words seldom come back.
+        for w in fresh:
+            if len(w) > self.LONGEST:
+                del self.words[w]
+        return out
 
 
 class Writer:

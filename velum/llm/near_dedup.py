@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velum.llm.arrays import LOWER, PIECE_BYTES, Words, draws, mix, pieces
-from velum.llm.shared import Scratch, col
+from velum.llm.arrays import LOWER, Words, draws, mix, pieces
+from velum.llm.shared import Scratch, col, give_back
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,6 +37,8 @@ BAND = 2
 AGREE, LOOSE = 8, 6
 TILE, LARGE = 256, 1 << 16
 ROWS, WIDTH = 3, 1 << 18
+#: Bytes of text that are looked at together; hashes and samples take some 50 times that.
+PIECE_BYTES = 1 << 20
 
 
 class Shingles:
@@ -74,11 +76,12 @@ def shingle_sketch(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros((ROWS, WIDTH), "i8"), 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=PIECE_BYTES):
                 found = Shingles(piece.column("text"))
                 n += found.texts
                 for r in range(ROWS):
                     table[r] += np.bincount(_cells(found.h, r), minlength=WIDTH)
+            give_back()
         # A slice of the sketch is one row, so the sum is spread over the cluster.
         for k, part in enumerate(table.reshape(-1, 1 << 12)):
             if part.any():
@@ -154,7 +157,7 @@ def _signatures(texts: DataFrame, rarity) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Rarity(*rarity.value)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=PIECE_BYTES):
                 found = Shingles(piece.column("text"))
                 codes = consistent_samples(found, found.n * weigh(found.h))
                 ends = np.arange(0, codes.size + 1, SAMPLES, dtype="i4")
@@ -168,6 +171,8 @@ def _signatures(texts: DataFrame, rarity) -> DataFrame:
                         ),
                     }
                 )
+                del found, codes
+            give_back()
 
     return texts.select("doc_id", "mark", "text").mapInArrow(sign, SIGNED)
 
@@ -311,7 +316,7 @@ def _divided(state: DataFrame, texts: DataFrame, rarity, threshold: float, scrat
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Rarity(*rarity.value)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=PIECE_BYTES):
                 found = Shingles(piece.column("text"))
                 own = {c: piece.column(c).take(pa.array(found.owner)) for c in ("mark", "cluster", "root")}
                 w = found.n * weigh(found.h)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where a session has
-    none (tests on one machine) a temporary folder is made and set for the session."""
+    """The folder all executors share: ``spark.checkpoint.dir``. On one machine, where a
+    session may have none, a temporary folder is made and set for the session; on a
+    cluster each executor would write to its own disk, so that raises."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="velum-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,8 +31,14 @@ class Scratch:
     """Tables of one run in the shared folder. A written table cuts the lineage: a lost
     executor costs the tasks of one step, and no step runs twice."""
 
+    #: Bytes of a batch that goes to Python, where the session has no setting of its own.
+    BATCH = "8m"
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, self.BATCH)
         self.root = f"{shared_folder(spark)}/velum/{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -44,9 +55,13 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Delete all tables of the run; what was read from them is gone with them."""
+        self.drop("")
+
     def release(self) -> None:
         """Shuffle files stay on disk until the driver collects the objects of their
         plans; between steps of a long run that would add up to a multiple of the data."""
@@ -54,6 +69,15 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on between tasks and
+    stages, and an allocator that keeps its largest need would add up over them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def col(name: str) -> Column:
     """A top-level column, whatever characters its name has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from velum.llm.shared import Scratch, col, fraction
+from velum.llm.shared import Scratch, col, fraction, give_back
 
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7)
@@ -262,6 +262,8 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, scores], names=[*batch.schema.names, "toxicity"]
             )
+        del scorer
+        give_back()
 
     return plain.mapInArrow(score, schema).toDF(*names, "toxicity")
 

@@ -60,16 +60,25 @@ def split_corpus(
 ) -> DataFrame:
     """Raw corpus texts cut into documents at ``marker``, numbered within each corpus
     and put between the dummy first and last sentence."""
-    chunks = (
-        r"filter(split(replace(text, '\n\n', '\n'), "
-        + literal(f"\\Q{marker}\\E")
-        + f", -1), c -> length(c) > {min_length})"
-    )
-    return corpus.selectExpr("corpus_id", f"posexplode({chunks}) AS (doc_index, chunk)").selectExpr(
-        "corpus_id",
-        "doc_index",
-        f"concat({literal(CORPUS_HEADER)}, chunk, {literal(CORPUS_FOOTER)}) AS text",
-    )
+    return corpus.selectExpr(
+        "corpus_id", f"posexplode({chunks('text', marker, min_length)}) AS (doc_index, chunk)"
+    ).selectExpr("corpus_id", "doc_index", f"{wrapped('chunk')} AS text")
+
+
+def chunks(text: str, marker: str, min_length: int, behind_marker: bool = False) -> str:
+    """What stands between the markers of a text once its blank lines are collapsed, without
+    what is too short. With ``behind_marker`` the text follows a marker, the last line end of
+    which takes part in collapsing."""
+    collapsed = rf"replace({text}, '\n\n', '\n')"
+    if behind_marker:
+        collapsed = rf"substring(replace(concat('\n', {text}), '\n\n', '\n'), 2)"
+    parts = f"split({collapsed}, {literal(f'\\Q{marker}\\E')}, -1)"
+    return f"filter({parts}, c -> length(c) > {min_length})"
+
+
+def wrapped(chunk: str) -> str:
+    """A chunk between the dummy first and last sentence."""
+    return f"concat({literal(CORPUS_HEADER)}, {chunk}, {literal(CORPUS_FOOTER)})"
 
 
 def sentences(text: str, sep: str = " ") -> str:

@@ -6,12 +6,13 @@ position, token-corpus files count the blank after the span."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velum.functions.arrays import rows
-from velum.operators.annotations import SEPARATORS
+from velum.labels import CORPUS_MARKER
+from velum.operators.annotations import MIN_CHUNK, SEPARATORS, chunks, wrapped
 
 LETTER_GOLD = T.StructType(
     [
@@ -39,6 +40,8 @@ SCORES = T.StructType(
 )
 INDEXED_SCORES = T.StructType([T.StructField("index", T.LongType()), *SCORES.fields])
 RECORDS = "array<struct<text:string,labels:array<array<string>>>>"
+#: Splits whose numbers are kept in every task of ``read_raw_corpora`` (some 50 bytes each).
+MOST_SPLITS = 2_000_000
 RECORD_FORMATS = ("json", "jsonl")
 
 
@@ -84,6 +87,70 @@ def read_token_texts(spark: SparkSession, path: str, sep: str = " ") -> DataFram
     )
 
 
+def read_raw_corpora(
+    spark: SparkSession,
+    path: str,
+    glob: str = "*",
+    marker: str = CORPUS_MARKER,
+    min_length: int = MIN_CHUNK,
+    newline: str = "\n",
+) -> DataFrame:
+    """Raw corpus files cut into documents at ``marker``: ``corpus_id`` (the file's name
+    without its ending), ``doc_index`` within the file, ``text``; the rows of
+    ``split_corpus`` over whole files, but a file is read by as many tasks as it has splits.
+
+    The marker delimits records, so a split begins and ends with one, and no task holds more
+    than a record. One pass counts the documents of each split; from these come the numbers
+    of the first documents of the splits, and the second pass counts on from there. Texts are
+    not moved. ``newline`` is the line end of the files; in files with another one, which
+    give the same rows, no marker is found before the lines are read, so they are not split.
+    """
+    if marker.startswith("\n") or "\n\n" in marker or any(
+        marker.endswith(marker[:k]) for k in range(1, len(marker))
+    ):
+        raise ValueError("a marker must not begin with a line end, hold a blank line, or end as it begins")
+    value = F.regexp_replace("value", "\r\n?", "\n").alias("value")
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    records = (
+        spark.read.option("lineSep", marker.replace("\n", newline))
+        .option("pathGlobFilter", glob)
+        .text(path)
+        .select(file.alias("file"), block.alias("block"), value)
+        .withColumn("place", F.monotonically_increasing_id())
+    )
+    first, other = (chunks("value", marker, min_length, behind) for behind in (False, True))
+    # The very first record of a file is the only one that is not behind a marker.
+    counted = records.selectExpr("file", "block", "place", f"size({first}) AS n_first", f"size({other}) AS n")
+    at_first = F.min(F.struct("place", "n_first", "n"))
+    blocks = counted.groupBy("file", "block").agg(F.sum("n").alias("n"), at_first.alias("f"))
+    is_start = F.col("block") == 0
+    blocks = blocks.select(
+        "file", "block", F.when(is_start, F.col("f.place")).alias("start"), F.col("f.place").alias("place"),
+        (F.col("n") + F.when(is_start, F.col("f.n_first") - F.col("f.n")).otherwise(0)).alias("n"),
+    )
+    if blocks.count() > MOST_SPLITS:
+        raise ValueError("too many splits; raise spark.sql.files.maxPartitionBytes")
+    before = (Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(*before)
+    task = F.shiftright("place", 33)
+    in_task = Window.partitionBy(task).orderBy("place").rowsBetween(*before)
+    # A row's number, counted through its task, less those of the splits before it there.
+    base = F.shiftleft(task, 33) + F.coalesce(F.sum("n").over(in_task), F.lit(0))
+    blocks = blocks.select(
+        "file", "block", "start", (F.coalesce(F.sum("n").over(in_file), F.lit(0)) - base).alias("shift")
+    )
+    is_first = "place <=> start"
+    documents = records.join(F.broadcast(blocks), ["file", "block"]).selectExpr(
+        "file", "shift", f"explode(CASE WHEN {is_first} THEN {first} ELSE {other} END) AS chunk"
+    )
+    name = F.element_at(F.split("file", "/"), -1)
+    return documents.withColumn("number", F.monotonically_increasing_id()).select(
+        F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("corpus_id"),
+        (F.col("number") + F.col("shift")).cast("int").alias("doc_index"),
+        F.expr(wrapped("chunk")).alias("text"),
+    )
+
+
 def _fields(lines: DataFrame, schema: T.StructType, sep: str) -> DataFrame:
     """``lines`` (keys and ``value``) with the fields of each line in place of it."""
     parsed = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"sep": sep})

@@ -30,6 +30,11 @@ REGEX_CONFIG = {
     },
 }
 DATES_CONFIG = {"name": "dates", "models": {"date": "regex", "age": "regex"}}
+# The letter that is scored alone.
+ONE_LETTER = "l7"
+
+# The models whose spans the table of model spans has.
+REPORTING = ("john", "stanza", "spacy")
 MIXED_CONFIG = {
     "name": "mixed",
     "models": {

@@ -531,6 +531,11 @@ SELECT {_FLAT}, {_case('entity_type', L.GOLD_FOLD, 'entity_type')}, 'gold' FROM
     "WHERE score_type = 'lenient'",
     "scores_document": f"{_REGEX_COUNTS},{_rates('counts', 'rates')} "
     f"SELECT doc_id, entity, score_type, {_METRICS} FROM rates",
+    "scores_one_document": f"WITH {LETTERS},{_letter_spans(I.REGEX_CONFIG, 'found')},"
+    f"one_found AS (SELECT * FROM found WHERE doc_id = '{I.ONE_LETTER}'),"
+    f"one_gold AS (SELECT * FROM gold WHERE doc_id = '{I.ONE_LETTER}'),"
+    f"{_confusion('one_found', 'c', 'one_gold')},{_rates('c', 'r')},{_macro('r', 'm', 'regex')} "
+    f"SELECT entity, score_type, {_METRICS}, config_name FROM m",
     "scores_macro": f"WITH {LETTERS},{_evaluated(I.REGEX_CONFIG, 'r')} "
     f"SELECT entity, score_type, {_METRICS}, config_name FROM r",
     "scores_macro_resolved": f"WITH {LETTERS},{_evaluated(I.REGEX_CONFIG, 'r', True)} "

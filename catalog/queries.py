@@ -201,6 +201,7 @@ def deidentify_with_models(spark, sf_dir):
         I.config(I.MIXED_CONFIG, mode="tag"),
         merge=True,
         model_spans=_with_exclusive_ends(I.model_spans(spark, sf_dir)),
+        span_models=I.REPORTING,
     ).select("doc_id", "masked_text")
 
 
@@ -210,14 +211,22 @@ def deidentify_with_models_all(spark, sf_dir):
         I.letters(spark, sf_dir),
         I.config(I.MIXED_CONFIG, mode="tag"),
         model_spans=_with_exclusive_ends(I.model_spans(spark, sf_dir)),
+        span_models=I.REPORTING,
     ).select("doc_id", "masked_text", F.size("spans").cast("long").alias("n_spans"))
 
 
+def _reports(cfg, spark, sf_dir):
+    """The table of model spans, where a configuration uses models."""
+    if not cfg.model_entities:
+        return {}
+    return {"model_spans": _with_exclusive_ends(I.model_spans(spark, sf_dir)), "span_models": I.REPORTING}
+
+
 def _scored(values, spark, sf_dir):
     """Predicted and gold spans of the letters."""
     cfg = I.config(values)
-    with_models = _with_exclusive_ends(I.model_spans(spark, sf_dir)) if cfg.model_entities else None
-    predicted = velum.find_spans(I.letters(spark, sf_dir), cfg, model_spans=with_models)
+    with_models = _reports(cfg, spark, sf_dir)
+    predicted = velum.find_spans(I.letters(spark, sf_dir), cfg, **with_models)
     return (
         scoring.to_gold_labels(predicted),
         scoring.fold_gold(I.letters_gold(spark, sf_dir)),
@@ -246,18 +255,21 @@ def scores_document(spark, sf_dir):
     return _rounded(scoring.scores_document(*_scored(I.REGEX_CONFIG, spark, sf_dir)))
 
 
-def _evaluated(values, spark, sf_dir, merge=False):
+def _evaluated(values, spark, sf_dir, merge=False, doc_id=None):
     cfg = I.config(values)
-    with_models = _with_exclusive_ends(I.model_spans(spark, sf_dir)) if cfg.model_entities else None
-    return velum.evaluate(
-        I.letters(spark, sf_dir), I.letters_gold(spark, sf_dir), cfg, merge, model_spans=with_models
-    )
+    letters, gold = I.letters(spark, sf_dir), I.letters_gold(spark, sf_dir)
+    return velum.evaluate(letters, gold, cfg, merge, doc_id=doc_id, **_reports(cfg, spark, sf_dir))
 
 
 def scores_macro(merge, spark, sf_dir):
     return _rounded(_evaluated(I.REGEX_CONFIG, spark, sf_dir, merge))
 
 
+def scores_one_document(spark, sf_dir):
+    """Scores of the one letter that is asked for."""
+    return _rounded(_evaluated(I.REGEX_CONFIG, spark, sf_dir, doc_id=I.ONE_LETTER))
+
+
 def score_lines_parsed(spark, sf_dir):
     """Score lines written and read again."""
     scores = _evaluated(I.REGEX_CONFIG, spark, sf_dir)
@@ -276,7 +288,8 @@ def _all_scores(spark, sf_dir):
     configs = [I.config(c) for c in (I.REGEX_CONFIG, I.DATES_CONFIG, I.MIXED_CONFIG)]
     reports = _with_exclusive_ends(I.model_spans(spark, sf_dir))
     return velum.evaluate_all(
-        I.letters(spark, sf_dir), I.letters_gold(spark, sf_dir), configs, model_spans=reports
+        I.letters(spark, sf_dir), I.letters_gold(spark, sf_dir), configs,
+        model_spans=reports, span_models=I.REPORTING,
     )
 
 
@@ -344,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confusion_strict": partial(confusion, "strict"),
     "confusion_lenient": partial(confusion, "lenient"),
     "scores_document": scores_document,
+    "scores_one_document": scores_one_document,
     "scores_macro": partial(scores_macro, False),
     "scores_macro_resolved": partial(scores_macro, True),
     "score_lines_parsed": score_lines_parsed,

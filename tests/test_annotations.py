@@ -155,3 +155,15 @@ def test_order_of_long_numbers(spark):
     df = spark.createDataFrame([(i,) for i in ids], "doc_id string")
     got = [r.doc_id for r in df.orderBy(files.document_order(), "doc_id").collect()]
     assert got == ["x", "a9", "a010", "a10", ids[3], ids[4]]
+
+
+def test_one_document_reads_one_file(spark, tmp_path):
+    """Only the file of the document is among those the plan reads."""
+    names = ["7", "77", "a*", "a[b]", "a,b", "{c}", "d+e f", "100%"]
+    for name in names:
+        (tmp_path / f"{name}.txt").write_text(f"text of {name}")
+    for name in names:
+        read = files.read_documents(spark, str(tmp_path), doc_id=name)
+        assert [tuple(r) for r in read.collect()] == [(name, f"text of {name}")]
+        assert len(read.inputFiles()) == 1
+    assert files.read_documents(spark, str(tmp_path), doc_id="none").count() == 0

@@ -9,6 +9,7 @@ import velum
 from velum.operators.models import intake_spans
 
 MIXED = {"models": {"person": "stanza", "address": "spacy", "zipcode": "john", "date": "regex"}}
+MODELS = ("john", "stanza", "spacy")
 RAW = [
     ("a", 0, 4, "PER", "Aldo", "stanza"),
     ("a", 0, 4, "PER", "Aldo", "spacy"),
@@ -42,13 +43,13 @@ def test_intake(spark):
 def test_deidentify_with_table(spark):
     cfg = velum.DeidConfig.from_dict(MIXED)
     spans = raw(spark).withColumn("end", F.col("end") + (F.col("model") == "john").cast("int"))
-    out = velum.deidentify(docs(spark), cfg, merge=True, model_spans=spans).first()
+    out = velum.deidentify(docs(spark), cfg, merge=True, model_spans=spans, span_models=MODELS).first()
     assert out.masked_text == "<PERSONA> a <INDIRIZZO> <CAP> il <DATA>"
-    twice = velum.deidentify(docs(spark), cfg, model_spans=spans.unionAll(spans)).first()
+    twice = velum.deidentify(docs(spark), cfg, model_spans=spans.unionAll(spans), span_models=MODELS).first()
     assert twice.masked_text == out.masked_text
     assert [s.entity_type for s in twice.spans].count("PERSONA") == 1 and len(twice.spans) == 4
-    assert velum.find_spans(docs(spark), cfg, model_spans=spans).count() == 4
-    assert velum.find_spans(docs(spark), cfg, merge=True, model_spans=spans).count() == 4
+    assert velum.find_spans(docs(spark), cfg, model_spans=spans, span_models=MODELS).count() == 4
+    assert velum.find_spans(docs(spark), cfg, merge=True, model_spans=spans, span_models=MODELS).count() == 4
 
 
 def test_annotators_run_in_place(spark):
@@ -108,3 +109,19 @@ def test_a_worker_loads_a_model_once(spark, tmp_path):
     assert found.count() == 400
     loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
     assert len(loads) == len(set(loads)) < 40
+
+
+def test_a_table_of_spans_names_its_models(spark):
+    """Spans of one model do not stand for those of another one."""
+    cfg = velum.DeidConfig.from_dict({"models": {"person": "stanza", "address": "spacy"}})
+    spans = raw(spark).filter("model = 'spacy'")
+    with pytest.raises(ValueError, match="stanza"):
+        velum.deidentify(docs(spark), cfg, model_spans=spans, span_models=("spacy",))
+    with pytest.raises(ValueError, match="spacy, stanza"):
+        velum.find_spans(docs(spark), cfg, model_spans=spans)
+    with pytest.raises(ValueError, match="no table"):
+        velum.find_spans(docs(spark), cfg, span_models=("spacy", "stanza"))
+    with pytest.raises(ValueError, match="list"):
+        velum.find_spans(docs(spark), cfg, model_spans=spans, span_models="spacy")
+    found = velum.find_spans(docs(spark), cfg, model_spans=spans, span_models=("spacy",), skip_models=("stanza",))
+    assert {r.model for r in found.collect()} == {"spacy"}

@@ -78,13 +78,23 @@ class DeidConfig:
         }
 
 
-def check_models(config: DeidConfig, annotators, model_spans, skip: tuple[str, ...]) -> None:
-    """Every model in use needs an annotator or a table of spans, or must be named as
-    one to do without: else its entities would stay in the text unnoticed."""
-    given = set(annotators or ()) | set(skip)
+def check_models(
+    config: DeidConfig, annotators, model_spans, skip: tuple[str, ...], span_models: tuple[str, ...] = ()
+) -> None:
+    """Every model in use needs an annotator, or a table of spans that is said to have its
+    spans, or must be named as one to do without: else its entities would stay in the text
+    unnoticed. What a table holds does not tell: a model may have found nothing."""
+    if isinstance(span_models, str) or isinstance(skip, str):
+        raise ValueError("models are named in a list, not in a string")
+    if span_models and model_spans is None:
+        raise ValueError(f"no table with the spans of {', '.join(sorted(span_models))}")
+    given = set(annotators or ()) | set(skip) | set(span_models)
     missing = sorted(set(config.model_entities) - given)
-    if missing and model_spans is None:
-        raise ValueError(f"no annotator and no spans for {', '.join(missing)}; see skip_models")
+    if missing:
+        raise ValueError(
+            f"no annotator and no spans for {', '.join(missing)}; name the models of a table of spans"
+            " in span_models, or those to do without in skip_models"
+        )
 
 
 def check_mode(mode: str) -> None:

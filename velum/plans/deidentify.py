@@ -52,13 +52,15 @@ def find_spans(
     annotators: dict | None = None,
     model_spans: DataFrame | None = None,
     skip_models: tuple[str, ...] = (),
+    span_models: tuple[str, ...] = (),
 ) -> DataFrame:
     """All found spans, one per row; with ``merge`` only those that resolution keeps.
 
     Model spans come from ``annotators`` (model name -> factory, run in place) or from
-    ``model_spans``, a table of raw spans computed elsewhere. A model of the configuration
-    that has neither raises, unless ``skip_models`` names it."""
-    check_models(config, annotators, model_spans, skip_models)
+    ``model_spans``, a table of raw spans computed elsewhere by the models that
+    ``span_models`` names. A model of the configuration that has neither raises, unless
+    ``skip_models`` names it."""
+    check_models(config, annotators, model_spans, skip_models, span_models)
     documents, spans = _found(documents, config, annotators)
     if model_spans is None:
         return flatten(documents, resolve(spans) if merge else spans)
@@ -73,13 +75,14 @@ def deidentify(
     annotators: dict | None = None,
     model_spans: DataFrame | None = None,
     skip_models: tuple[str, ...] = (),
+    span_models: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, ``masked_text`` and ``spans`` of each document.
 
     Without ``model_spans`` this is a projection: no shuffle, and it also runs on a
     stream. ``spans`` are all found spans, or with ``merge`` the kept ones. Of equal spans
     in a table of model spans one is given here; ``find_spans`` has every copy."""
-    check_models(config, annotators, model_spans, skip_models)
+    check_models(config, annotators, model_spans, skip_models, span_models)
     documents, spans = _found(documents, config, annotators)
     found = documents.selectExpr("doc_id", "text", f"{spans} AS spans")
     if model_spans is not None:

@@ -46,8 +46,18 @@ RECORD_FORMATS = ("json", "jsonl")
 
 
 
+def _decoded(name: Column) -> Column:
+    """Spark gives paths with special characters escaped, blanks as ``%20``."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _file_name() -> Column:
-    return F.col("_metadata.file_name")
+    return _decoded(F.col("_metadata.file_name"))
+
+
+def _plain_glob(name: str) -> str:
+    """A name as a pattern that only that name fits."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}^," else c for c in name)
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str, keep: Column, doc_id: Column):
@@ -60,12 +70,13 @@ def _whole_files(spark: SparkSession, path: str, glob: str, keep: Column, doc_id
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.txt`` file without ``_`` in its name as one document."""
+def read_documents(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
+    """Every ``*.txt`` file without ``_`` in its name as one document. With ``doc_id`` only
+    that document's file is read; the others are left out by name before any is opened."""
     return _whole_files(
         spark,
         path,
-        "*.txt",
+        "*.txt" if doc_id is None else f"{_plain_glob(doc_id)}.txt",
         ~_file_name().contains("_"),
         F.regexp_extract(_file_name(), r"^(.*)\.txt", 1),
     )
@@ -145,7 +156,7 @@ def read_raw_corpora(
     )
     name = F.element_at(F.split("file", "/"), -1)
     return documents.withColumn("number", F.monotonically_increasing_id()).select(
-        F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("corpus_id"),
+        F.regexp_replace(_decoded(name), r"\.[^.]*$", "").alias("corpus_id"),
         (F.col("number") + F.col("shift")).cast("int").alias("doc_index"),
         F.expr(wrapped("chunk")).alias("text"),
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import velum
-from velum.operators.models import intake_spans
+from velum.operators.models import batched, intake_spans, loaded_model
 
 MIXED = {"models": {"person": "stanza", "address": "spacy", "zipcode": "john", "date": "regex"}}
 MODELS = ("john", "stanza", "spacy")
@@ -125,3 +125,44 @@ def test_a_table_of_spans_names_its_models(spark):
         velum.find_spans(docs(spark), cfg, model_spans=spans, span_models="spacy")
     found = velum.find_spans(docs(spark), cfg, model_spans=spans, span_models=("spacy",), skip_models=("stanza",))
     assert {r.model for r in found.collect()} == {"spacy"}
+
+
+def test_batches_of_different_texts(spark, tmp_path):
+    """Several plans: each worker loads the model once, and no batch has a text twice."""
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        def note(what):
+            open(f"{folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def find(texts):
+            assert len(set(texts)) == len(texts) <= 5
+            note(f"call{len(texts)}")
+            return [[(0, 4, "PER", t[:4])] if t.startswith("Aldo") else [] for t in texts]
+
+        note("load")
+        return find
+
+    cfg = velum.DeidConfig.from_dict({"models": {"person": "stanza"}})
+    text = "CASE WHEN id % 10 = 9 THEN NULL ELSE concat(if(id % 2 = 0, 'Aldo ', 'Bice '), id % 10) END AS text"
+    df = spark.range(400, numPartitions=4).selectExpr("cast(id AS string) AS doc_id", text)
+    for _ in range(3):
+        found = velum.find_spans(df, cfg, annotators={"stanza": batched(factory, 5)})
+        assert found.count() == 200
+    notes = [p.name.split("-") for p in tmp_path.iterdir()]
+    loads = [pid for what, pid, _ in notes if what == "load"]
+    assert len(loads) == len(set(loads))
+    # Nine different texts a task, in lists of five and four.
+    assert sorted(what for what, *_ in notes if what != "load") == ["call4"] * 12 + ["call5"] * 12
+    with pytest.raises(ValueError):
+        batched(factory, 0)
+
+
+def test_few_models_stay_loaded():
+    loads = []
+    for k in [*range(10), 9, 2, 0]:
+        loaded_model("m", str(k), lambda k=k: loads.append(k) or k)
+    assert loads == [*range(10), 0]

@@ -123,52 +123,88 @@ def test_non_negative_risk():
     assert scorer("") < 0.5
 
 
-def tree_verdicts(pages, rules):
+def tree_verdicts(pages):
     """The same tree in plain Python: pages as (host, typed path, ruled verdict)."""
     n, bad, good = Counter(), Counter(), Counter()
     for host, typed, ruled in pages:
         n[host, typed] += 1
         bad[host, typed] += ruled == "block"
         good[host, typed] += ruled == "allow"
-    prior = sum(bad.values()) / max(1, sum(n.values()))
+    every, wrong = Counter(), Counter()
+    for k in n:
+        every[k[0]] += n[k]
+        wrong[k[0]] += bad[k]
+    prior = sum(wrong[h] / every[h] for h in every) / max(1, len(every))
+    weight = url_templates.SMOOTHING
     template = {k: "" for k in n}
+    purity = {k: (wrong[k[0]] + weight * prior) / (every[k[0]] + weight) for k in n}
+    going = set(n)
 
     def share(a, b):
-        return math.floor(math.asin(math.sqrt(a / b)) / url_templates.BIN) if b else -1
+        return math.floor(math.asin(math.sqrt(a / b)) / url_templates.BIN)
 
-    for level in range(max((len(t) for _, t in n), default=0)):
-        child = {k: k[1][level] if len(k[1]) > level else None for k in n}
+    level = 0
+    while going := {k for k in going if len(k[1]) > level}:
         kinds, total = defaultdict(set), Counter()
-        for k, c in child.items():
-            if c is not None:
-                kinds[k[0], template[k]].add(c)
-                total[k[0], template[k]] += n[k]
-        for k, c in child.items():
+        for k in going:
+            kinds[k[0], template[k]].add(k[1][level])
+            total[k[0], template[k]] += n[k]
+        child, sums = {}, defaultdict(lambda: [0, 0, 0])
+        for k in going:
             at = k[0], template[k]
             many = len(kinds[at]) >= url_templates.MANY_CHILDREN
-            if c is not None and many and total[at] < url_templates.PAGES_PER_CHILD * len(kinds[at]):
-                child[k] = "{any}"
-        sums = defaultdict(lambda: [0, 0, 0])
-        for k, c in child.items():
-            if c is not None:
-                for j, v in enumerate((n[k], bad[k], good[k])):
-                    sums[k[0], template[k], c][j] += v
+            child[k] = "{any}" if many and total[at] < url_templates.PAGES_PER_CHILD * len(kinds[at]) else k[1][level]
+            for j, v in enumerate((n[k], bad[k], good[k])):
+                sums[(*at, child[k])][j] += v
         alike = defaultdict(list)
         for (host, node, c), (a, b, g) in sums.items():
-            alike[host, node, share(b + g, a), share(b, b + g)].append(c)
-        name = {}
-        for (host, node, *_), cs in alike.items():
+            key = (share(b + g, a), share(b, b + g)) if b + g else (c,)
+            alike[host, node, key].append(c)
+        name, labels = {}, defaultdict(lambda: [0, 0])
+        for (host, node, _), cs in alike.items():
             for c in cs:
-                name[host, node, c] = f"{{like {min(cs)}}}" if len(cs) > 1 else c
-        template = {k: template[k] + ("/" + name[k[0], template[k], c] if c is not None else "") for k, c in child.items()}
-    b, g = Counter(), Counter()
-    for k in n:
-        b[k[0], template[k]] += bad[k]
-        g[k[0], template[k]] += good[k]
-    weight = url_templates.SMOOTHING
-    return {
-        k: (template[k], (b[k[0], template[k]] + weight * prior) / (b[k[0], template[k]] + g[k[0], template[k]] + weight))
-        for k in n
+                name[host, node, c] = branch = f"{{like {min(cs)}}}" if len(cs) > 1 else c
+                labels[host, node, branch][0] += sums[host, node, c][1]
+                labels[host, node, branch][1] += sums[host, node, c][2]
+        level += 1
+        for k in list(going):
+            branch = name[k[0], template[k], child[k]]
+            b, g = labels[k[0], template[k], branch]
+            purity[k] = (b + weight * purity[k]) / (b + g + weight)
+            template[k] += "/" + branch
+            if level >= url_templates.DEPTH and not (b and g):
+                template[k] += "/{deep}" if len(k[1]) > level else ""
+                going.discard(k)
+    return {k: (template[k], purity[k]) for k in n}
+
+
+def test_deep_paths_are_told_apart(spark):
+    """Below ``DEPTH`` segments good and bad branches are still judged apart."""
+    deep = "/".join("abcdefghij")
+    rows = [(k, f"http://h.example/{deep}/{'spam' if k % 2 else 'news'}/x{k // 2 % 5}/{k}") for k in range(200)]
+    rows += [(500 + k, f"http://other.example/{deep}/y/{k}") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = tuple(Rule("block", "h.example", f"/{deep}/spam/x{d}") for d in range(4))
+    rules += tuple(Rule("allow", "h.example", f"/{deep}/news/x{d}") for d in range(4))
+    got = filter_urls(pages, rules).collect()
+    learned = {r.path.split("/")[11]: r.verdict for r in got if r.rule is None and r.host == "h.example"}
+    assert learned == {"spam": "block", "news": "allow"}
+    assert {r.template.count("/") for r in got if r.host == "other.example"} == {9}
+    typed = {r.page_id: tuple(r.t) for r in pages.select("page_id", url_templates.typed_segments(url_templates.path_of(pages["url"])).alias("t")).collect()}
+    ruled = {r.page_id: r.verdict if r.rule else None for r in got}
+    tree = tree_verdicts([(r.host, typed[r.page_id], ruled[r.page_id]) for r in got])
+    for r in got:
+        template, purity = tree[r.host, typed[r.page_id]]
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+
+
+def test_labels_of_a_host_reach_its_other_branches(spark):
+    """A host whose pages are mostly bad, one that is mostly good, and one without labels."""
+    rows = [(k, f"http://{h}.example/{'x' if k % 10 < share else 'y'}/p{k % 7}") for h, share in (("bad", 9), ("good", 1), ("new", 5)) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = filter_urls(pages, (Rule("block", "bad.example", "/x"), Rule("block", "good.example", "/x"))).collect()
+    assert {(r.host, r.verdict) for r in got if r.rule is None} == {
+        ("bad.example", "block"), ("good.example", "allow"), ("new.example", "allow")
     }
 
 
@@ -187,7 +223,8 @@ def test_urls_against_plain_python(spark):
         rule = max(fit, key=lambda r: len(r.name), default=None)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule and rule.name)
         ruled[i] = rule and rule.verdict
-    tree = tree_verdicts([(got[i].host, typed[i], ruled[i]) for i in url], URL_RULES)
+    tree = tree_verdicts([(got[i].host, typed[i], ruled[i]) for i in url])
+    assert len({round(got[i].purity, 9) for i in url if ruled[i] is None}) > 20
     for i in url:
         template, purity = tree[got[i].host, typed[i]]
         assert got[i].template == template and abs(got[i].purity - purity) < 1e-9

@@ -1,11 +1,19 @@
 """URL filter by a tree of path templates per host.
 
 Segments that are numbers, codes or dates are typed by their form. Level by level, a node
-with many children that seldom repeat gets a wildcard in their place, and children whose
-labels are alike within the width of a bin on the arcsine scale, where shares have about
-the same error, merge into one branch. The leaves are templates; one is rejected when the
-share of bad pages among its labelled ones, smoothed by the share among all pages, is
-half or more.
+with many children that seldom repeat gets a wildcard in their place, and labelled children
+whose labels are alike within the width of a bin on the arcsine scale, where shares have
+about the same error, merge into one branch. The leaves are templates; one is rejected when
+its purity, the smoothed share of bad pages, is half or more.
+
+Each node is smoothed towards its parent: its labelled pages count, and ``SMOOTHING`` more
+with the share of the node above. So the labels of a host reach its branches without labels,
+and those of a branch the templates below it. The share of a host itself is that of its bad
+pages among all of its pages, smoothed by the mean of that over all hosts, in which a host
+with a great many pages counts once.
+
+A path is followed for ``DEPTH`` segments and beyond that for as long as a branch holds both
+good and bad pages: what is folded has labels of one kind, or none.
 
 Pages are summed by host and typed path first, so a host with a third of all pages enters
 the tree with the number of its typed paths."""
@@ -67,8 +75,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 
 def typed_segments(path: Column) -> Column:
-    """Segments of a path with variable forms replaced; what is deeper than ``DEPTH``
-    levels counts as one segment."""
+    """Segments of a path with variable forms replaced."""
 
     def typed(s: Column) -> Column:
         form = F.regexp_replace(s, r"^\d{4}-\d{1,2}(-\d{1,2})?(?=$|\.)", "{date}")
@@ -76,9 +83,7 @@ def typed_segments(path: Column) -> Column:
         code = r"^(?=.*\d)[0-9a-fA-F]{8,}(-[0-9a-fA-F]{4,})*(?=$|\.)"
         return F.regexp_replace(form, code, "{code}")
 
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("{deep}")))
-    return F.transform(F.when(F.size(parts) > DEPTH, deep).otherwise(parts), typed)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), typed)
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -88,11 +93,20 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def path_templates(paths: DataFrame, scratch: Scratch) -> DataFrame:
-    """``paths`` (``host, typed, n, bad, good``) with ``template``."""
-    depth = paths.agg(F.max(F.size("typed"))).first()[0] or 0
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(depth):
-        here = tree.withColumn("child", F.get("typed", F.lit(level)))
+    """``paths`` (``host, typed, n, bad, good``) with ``template`` and ``purity``."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("all"), F.sum("bad").alias("bad"))
+    prior = hosts.agg(F.coalesce(F.avg(F.col("bad") / F.col("all")), F.lit(0.0))).first()[0]
+    start = (F.col("bad") + SMOOTHING * prior) / (F.col("all") + SMOOTHING)
+    tree = paths.join(hosts.select("host", start.alias("purity")), "host").withColumns(
+        {"template": F.lit(""), "open": F.lit(True)}
+    )
+    tree = scratch.keep(tree, "level0")
+    level = 0
+    while True:
+        going = F.col("open") & (F.size("typed") > level)
+        if tree.filter(going).isEmpty():
+            return tree
+        here = tree.withColumn("child", F.when(going, F.get("typed", F.lit(level))))
         wide = (
             here.filter("child IS NOT NULL")
             .groupBy("host", "template", "child")
@@ -105,7 +119,7 @@ def path_templates(paths: DataFrame, scratch: Scratch) -> DataFrame:
         here = here.join(wide, ["host", "template"], "left").withColumn(
             "child", F.when(F.col("wide") & F.col("child").isNotNull(), "{any}").otherwise(F.col("child"))
         )
-        here = scratch.keep(here.drop("wide"), f"level{level}")
+        here = scratch.keep(here.drop("wide"), f"children{level}")
         known = F.col("bad") + F.col("good")
         branches = (
             here.filter("child IS NOT NULL")
@@ -114,20 +128,36 @@ def path_templates(paths: DataFrame, scratch: Scratch) -> DataFrame:
             .withColumns({"seen": _share(known, F.col("n")), "kind": _share(F.col("bad"), known)})
         )
         alike = (
-            branches.groupBy("host", "template", "seen", "kind")
+            branches.filter(known > 0)
+            .groupBy("host", "template", "seen", "kind")
             .agg(F.count("*").alias("merged"), F.min("child").alias("least"))
             .filter("merged > 1")
         )
-        named = branches.join(alike, ["host", "template", "seen", "kind"]).select(
-            "host", "template", "child", F.concat(F.lit("{like "), "least", F.lit("}")).alias("branch")
+        named = branches.join(alike, ["host", "template", "seen", "kind"], "left").select(
+            "host", "template", "child", "bad", "good",
+            F.coalesce(F.concat(F.lit("{like "), "least", F.lit("}")), "child").alias("branch"),
+        )
+        labels = named.groupBy("host", "template", "branch").agg(
+            F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good")
         )
-        step = F.concat(F.lit("/"), F.coalesce("branch", "child"))
-        tree = (
-            here.join(named, ["host", "template", "child"], "left")
-            .withColumn("template", F.concat("template", F.coalesce(step, F.lit(""))))
-            .drop("child", "branch")
+        named = named.drop("bad", "good").join(labels, ["host", "template", "branch"])
+        level += 1
+        purity = (F.col("all_bad") + SMOOTHING * F.col("purity")) / (
+            F.col("all_bad") + F.col("all_good") + SMOOTHING
         )
-    return scratch.keep(tree, "tree")
+        mixed = (F.col("all_bad") > 0) & (F.col("all_good") > 0)
+        opened = mixed if level >= DEPTH else F.lit(True)
+        folded = F.when(~opened & (F.size("typed") > level), "/{deep}").otherwise("")
+        step = F.concat(F.lit("/"), "branch", folded)
+        moves = F.col("branch").isNotNull()
+        tree = here.join(named, ["host", "template", "child"], "left").select(
+            "host", "typed", "n", "bad", "good",
+            F.when(moves, purity).otherwise(F.col("purity")).alias("purity"),
+            F.concat("template", F.coalesce(step, F.lit(""))).alias("template"),
+            F.coalesce(moves & opened, F.lit(False)).alias("open"),
+        )
+        tree = scratch.keep(tree, f"level{level}")
+        scratch.drop(f"level{level - 1}", f"children{level - 1}")
 
 
 def filter_urls(
@@ -136,7 +166,8 @@ def filter_urls(
     """``page_id, host, path, rule, verdict, template, purity``, one row per row of ``pages``.
 
     ``rule`` is the longest rule that fits, whose verdict holds and whose pages are the
-    labels of the tree; ``purity`` is the smoothed share of bad pages of the template.
+    labels of the tree; ``purity`` is the smoothed share of bad pages of the template, and
+    ``verdict`` follows from it where no rule fits.
     Null urls, and urls without ``://``, have an empty host and path."""
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(
@@ -149,12 +180,7 @@ def filter_urls(
         F.count("*").alias("n"), F.sum(bad).alias("bad"), F.sum(good).alias("good")
     )
     paths = scratch.keep(paths, "paths")
-    total, n_bad = paths.agg(F.sum("n"), F.sum("bad")).first()
-    prior = (n_bad or 0) / max(1, total or 0)
-    tree = path_templates(paths, scratch)
-    purity = (F.sum("bad") + SMOOTHING * prior) / (F.sum("bad") + F.sum("good") + SMOOTHING)
-    judged = tree.groupBy("host", "template").agg(purity.alias("purity"))
-    known = tree.select("host", "typed", "template").join(judged, ["host", "template"])
+    known = path_templates(paths, scratch).select("host", "typed", "template", "purity")
     learned = F.when(F.col("purity") >= 0.5, "block").otherwise("allow")
     return rows.join(known, ["host", "typed"]).select(
         "page_id", "host", "path", "rule",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from velum.llm.arrays import pieces
 from velum.llm.dom import Page, read_page
 from velum.llm.labelled_pages import PAGES
-from velum.llm.shared import col
+from velum.llm.shared import col, fraction
 
 # Tags with a feature of their own, and words in names with what they stand for.
 TAGS = (
@@ -246,7 +246,11 @@ def fit_main_text(df: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES)
     some = df.select(text.alias("html")).filter(
         (F.length("html") <= SAMPLE_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]")
     )
-    rows = some.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    # Few more than are needed leave their tasks, and equal pages come once.
+    some = some.withColumn("h", fraction(F.col("html")))
+    n = some.select("h").distinct().count()
+    some = some.filter(F.col("h") < min(1.0, 2 * sample / max(1, n))).groupBy("h").agg(F.min("html").alias("html"))
+    rows = some.orderBy("h").limit(sample).collect()
     pages, labels, weight = [], [], []
     for row in rows:
         page = read_page(row["html"])

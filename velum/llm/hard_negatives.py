@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.shared import Scratch, col
+from velum.llm.shared import Scratch, col, fraction
 
 SAMPLE, FANOUT, LEAF = 8192, 16, 48
 PROBED = 6
@@ -382,8 +382,10 @@ def hard_negatives(
         return spark.createDataFrame([], schema)
     if norm >= EXACT:
         raise ValueError("scores of these vectors may pass 2^53 and would not be exact")
-    some = rows.select("v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
-    tree = fit_tree(_vectors(some["v"], dim), float(np.sqrt(norm)), leaf=leaf)
+    # Few more than are needed leave their tasks.
+    some = rows.select("v", fraction(F.col("v"), F.col("vec_id")).alias("h")).filter(F.col("h") < min(1.0, 2 * sample / n))
+    some = some.orderBy("h").limit(sample).select("v").toArrow()
+    tree = fit_tree(_vectors(some["v"], dim) if len(some) else np.zeros((1, dim)), float(np.sqrt(norm)), leaf=leaf)
     sent = spark.sparkContext.broadcast(tree)
 
     def put(batches):

@@ -88,6 +88,49 @@ def test_random_overlaps(spark, touching):
     assert two == want
 
 
+@pytest.mark.parametrize("touching", ["drop", "keep"])
+def test_overlaps_over_tiles(spark, touching, monkeypatch):
+    """Chains over many tiles, spans that end at, before and behind a border or cover
+    whole tiles, tiles without spans, a document without an identifier."""
+    monkeypatch.setattr(velum.operators.spans, "TILE_BITS", 3)
+    rng = random.Random(touching)
+    per_doc = {}
+    for d in range(120):
+        width, longest = rng.choice([30, 300, 2000]), rng.choice([2, 9, 17, 200])
+        starts = [rng.randint(0, width) for _ in range(rng.randint(1, 250))]
+        per_doc[d] = [span(s, s + rng.randint(0, longest), 0, i) for i, s in enumerate(starts)]
+    per_doc[120] = [span(i, i + 1) for i in range(900)]
+    per_doc[121] = [span(i, i + 40 + i % 7) for i in range(700)]
+    per_doc[None] = [span(8 * i, 8 * i + 8) for i in range(50)]
+    flat = [(d, *s) for d, found in per_doc.items() for s in found]
+    table = spark.createDataFrame(flat, "doc_id int, " + SPAN[7:-1].replace(":", " "))
+    got = {d: [] for d in per_doc}
+    for r in resolve_spans(table, touching).collect():
+        got[r[0]].append(tuple(r)[1:])
+    assert {d: sorted(s) for d, s in got.items()} == {d: greedy(s, touching) for d, s in per_doc.items()}
+
+
+def test_one_document_over_many_tasks(spark):
+    """No task orders a whole document: its spans are dealt by tile, once for both uses."""
+    table = spark.range(200_000).selectExpr(
+        "'a' AS doc_id", "cast(id * 7 AS int) AS start", "cast(id * 7 + 1 + id % 23 AS int) AS end",
+        "0 AS rank", "0 AS seq", "'X' AS entity_type", "'' AS text", "'regex' AS model",
+    )
+    out = resolve_spans(table)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = resolve_spans(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Window" not in plan
+    assert plan.count("ReusedExchange") == 1
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) > 1
+    want = greedy([(i * 7, i * 7 + 1 + i % 23) for i in range(200_000)][:30_000])
+    first = out.filter("start < 200000").select("start", "end").orderBy("start").collect()
+    assert [tuple(r) for r in first] == [s for s in want if s[0] < 200_000]
+
+
 @pytest.mark.parametrize("mode", MASKED)
 def test_masks(spark, mode):
     df = spark.createDataFrame([("a", TEXT), ("b", "niente"), ("c", "")], "doc_id string, text string")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.arrays import rows
+from velum.functions.arrays import empty, rows, running
 from velum.functions.finders import SPAN
-from velum.functions.resolve import resolve
+from velum.functions.resolve import places
 
 SPAN_COLUMNS = ("start", "end", "rank", "seq", "entity_type", "text", "model")
 
+# Positions per tile: spans of a document are resolved tile by tile.
+TILE_BITS = 12
+
 
 def as_struct(prefix: str = "") -> Column:
     """The columns of a flat span row as one span struct."""
@@ -44,29 +47,94 @@ def _distinct_starts(spans: DataFrame, touching: str) -> DataFrame:
 def resolve_spans(spans: DataFrame, touching: str = "drop") -> DataFrame:
     """Greedy overlap resolution of a span table.
 
-    A span that starts after the end of every earlier one is kept whatever came
-    before, so a document falls into islands of chained spans, and only an island
-    is gathered to be walked. Spans that start inside the first span of their
-    island are dropped before that."""
-    order = Window.partitionBy("doc_id").orderBy("span")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start, end = F.col("span.start"), F.col("span.end")
-
-    reach = F.max(end).over(before)
-    opens = reach.isNull() | (start > reach)
-    heads = (
-        _distinct_starts(spans, touching)
-        .withColumn("opens", opens)
-        .withColumn("head", F.max(F.when(F.col("opens"), F.struct(start, end))).over(so_far))
+    A document is cut into tiles of ``2 ** TILE_BITS`` positions, dealt out one by one.
+    What earlier tiles mean to a tile is the place from which on it is free, and that is
+    its own start or lies right behind a span that reaches into it. So each tile tells
+    for each such place from where on later tiles are free. Only these pairs are gathered by
+    document, one for a tile and one for a span over a border, and followed from tile to
+    tile; then the tiles are walked from the places found. A span must not end before
+    it starts."""
+    key, behind = places(touching)
+    own = _distinct_starts(spans, touching)
+    span_tile, next_tile = _tile(key("span")), _tile(behind("span"))
+    tiles = (
+        own.selectExpr(
+            "doc_id",
+            rows(
+                f"array(named_struct('tile', {span_tile}, 'item', named_struct('span', span, "
+                f"'place', cast(NULL AS long))), CASE WHEN {next_tile} > {span_tile} THEN "
+                f"named_struct('tile', {next_tile}, 'item', named_struct('span', "
+                f"cast(NULL AS {SPAN}), 'place', {behind('span')})) END)"
+            ),
+        )
+        .groupBy("doc_id", "tile")
+        .agg(F.collect_list("item").alias("items"))
+        .selectExpr(
+            "doc_id",
+            "tile",
+            "array_sort(array_compact(transform(items, x -> x.span))) AS spans",
+            f"array_distinct(concat(array({_first('tile')}), "
+            "array_compact(transform(items, x -> x.place)))) AS places",
+        )
     )
-    hidden = start < F.col("head.end")
-    islands = (
-        heads.filter(F.col("opens") | ~hidden)
-        .groupBy("doc_id", F.col("head.start").alias("island"))
-        .agg(F.collect_list("span").alias("spans"))
+
+    def after(free, x):
+        return f"CASE WHEN {key(x)} >= {free} THEN {behind(x)} ELSE {free} END"
+
+    passed = (
+        "transform(places, p -> named_struct('place', p, "
+        f"'free', aggregate(spans, p, (free, x) -> {after('free', 'x')})))"
+    )
+    followed = (
+        tiles.selectExpr("doc_id", f"named_struct('tile', tile, 'passed', {passed}) AS tile")
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
+        .selectExpr("doc_id AS of_doc", rows(_entries("tiles")))
+    )
+    entered = tiles.join(
+        followed,
+        tiles["doc_id"].eqNullSafe(followed["of_doc"]) & (tiles["tile"] == followed["of_tile"]),
+    )
+    kept = running(
+        "spans",
+        "place",
+        after,
+        lambda free, x: f"filter(array({x}), y -> {key('y')} >= {free})",
+        SPAN,
+    )
+    return flatten(entered, kept)
+
+
+def _tile(place: str) -> str:
+    return f"shiftright({place}, {TILE_BITS + 1})"
+
+
+def _first(tile: str) -> str:
+    return f"shiftleft({tile}, {TILE_BITS + 1})"
+
+
+def _entries(tiles: str) -> str:
+    """The place from which on each tile that is not all covered is free."""
+
+    def inside(free, t):
+        return f"{_tile(free)} <= {t}.tile"
+
+    def place(free, t):
+        return f"greatest({free}, {_first(f'{t}.tile')})"
+
+    return running(
+        tiles,
+        "cast(0 AS long)",
+        lambda free, t: (
+            f"CASE WHEN {inside(free, t)} THEN "
+            f"filter({t}.passed, f -> f.place = {place(free, t)})[0].free ELSE {free} END"
+        ),
+        lambda free, t: (
+            f"CASE WHEN {inside(free, t)} THEN array(named_struct('of_tile', {t}.tile, "
+            f"'place', {place(free, t)})) ELSE {empty('struct<of_tile:bigint,place:bigint>')} END"
+        ),
+        "struct<of_tile:bigint,place:bigint>",
     )
-    return flatten(islands, resolve("spans", touching))
 
 
 def distinct_per_document(spans: DataFrame) -> DataFrame:

@@ -104,6 +104,23 @@ def test_short_and_empty_items(spark):
     assert not any(r.contaminated for r in contaminated(spark, ["any text"], []).values())
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [4, 4, None]), ("string", ["m-1", "m-0", None])])
+def test_items_with_any_identifier(spark, kind, ids):
+    """Items without an identifier count too, and names the operator uses itself do not clash."""
+    texts = ["short and sweet", "long and sour words", "neither of the two"]
+    bench = spark.createDataFrame(
+        [(i, t, "x", 1, "y") for i, t in zip(ids, texts)] * 2,
+        f"item_id {kind}, text string, item string, row int, alone string",
+    )
+    found = [f"it is {t} indeed" for t in (*texts, "nothing")] + [" or ".join(texts)]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r.doc_id: r for r in mark_contaminated(docs, bench).collect()}
+    assert [got[i].contaminated for i in range(5)] == [True, True, True, False, True]
+    assert [got[i].n_items for i in range(5)] == [1, 1, 1, 0, 3]
+    assert [got[i].item_id for i in range(5)] == [*ids, None, min(ids[:2])]
+    assert drop_contaminated(docs, bench).select("doc_id").collect() == [(3,)]
+
+
 def test_contaminated_rows(spark, docs, rows, no_docs):
     passage = next(t for i, t, *_ in rows if i == 2)
     bench = spark.createDataFrame([(1, passage, 5), (None, "x", 6)], "item_id long, text string, doc_id long")

@@ -200,31 +200,38 @@ def contamination(
     item_text: str = "text", item_id: str = "item_id", window: int = WINDOW,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``row, item_id, n_windows, exact``: documents that hold (part of) an item, by the
-    hash of identifier and text (``row``), with the matching windows of their best
-    alignment and whether a window has the item's own values.
+    """``row, item, item_id, n_windows, exact``: documents that hold (part of) an item, both
+    by the hash of identifier and text (``row``, ``item``), with the matching windows of
+    their best alignment and whether a window has the item's own values. Items may have
+    identifiers of any type, equal ones or none; equal items count as one.
 
     An alignment counts if one of its windows is exact, in any case of letters, or if it
     has two templates, or the only one of the item with ``ALONE`` literal tokens, and all
     its slots are consistent. Texts and items that are null or without words match
     nothing."""
     scratch = scratch or Scratch(docs.sparkSession)
-    items = benchmark.select(col(item_id).cast("long").alias("row"), col(item_text).alias("text"))
-    items = scratch.keep(item_windows(items.filter("row IS NOT NULL"), window), "items")
+    items = benchmark.select(
+        row_key(benchmark, item_text, item_id).alias("row"),
+        col(item_id).alias("item_id"), col(item_text).alias("text"),
+    ).dropDuplicates(["row"])
+    # Under names of its own, so that the identifiers meet the windows whatever their type.
+    names = items.select(F.col("row").alias("item"), "item_id")
+    cut = item_windows(items, window).withColumnRenamed("row", "item")
+    items = scratch.keep(cut.join(names, "item"), "items")
     lengths = [r[0] for r in items.select("n").distinct().collect()]
     rows = docs.select(row_key(docs, text, doc_id).alias("row"), col(text).alias("text"))
     found = scratch.keep(document_windows(rows, _sieve(items), lengths), "windows")
     met = found.distinct().alias("d").join(items.alias("b"), ["n", "h"])
     met = scratch.keep(
         met.select(
-            F.col("d.row").alias("row"), F.col("b.row").alias("item_id"),
+            F.col("d.row").alias("row"), F.col("b.item").alias("item"), "item_id",
             (F.col("d.place") - F.col("b.place")).alias("shift"),
             F.col("d.place").alias("place"),
             F.col("d.slots").alias("ours"), F.col("b.slots").alias("theirs"), "alone",
         ),
         "met",
     )
-    key = ("row", "item_id", "shift")
+    key = ("row", "item", "shift")
     slots = (
         met.select(*key, F.explode(F.arrays_zip("theirs", "ours")).alias("s"))
         .groupBy(*key, "s.theirs")
@@ -233,6 +240,7 @@ def contamination(
         .agg(F.every("same").alias("consistent"))
     )
     aligned = met.groupBy(*key).agg(
+        F.first("item_id").alias("item_id"),
         F.countDistinct("place").alias("n_windows"),
         F.countDistinct(F.when(F.isnotnull("theirs"), F.col("place"))).alias("n_templates"),
         F.some("alone").alias("alone"),
@@ -241,8 +249,12 @@ def contamination(
     return (
         aligned.join(slots, list(key), "left")
         .filter("exact OR ((n_templates > 1 OR alone) AND coalesce(consistent, true))")
-        .groupBy("row", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.max("exact").alias("exact"))
+        .groupBy("row", "item")
+        .agg(
+            F.first("item_id").alias("item_id"),
+            F.max("n_windows").alias("n_windows"),
+            F.max("exact").alias("exact"),
+        )
     )
 
 

@@ -1,5 +1,6 @@
 """Finders against listed cases and against Python's regular expressions."""
 
+import datetime as dt
 import random
 import re
 
@@ -9,6 +10,9 @@ from velum.functions import finders
 from velum.functions import patterns as P
 
 
+REFERENCE = dt.date(2026, 12, 1)
+
+
 def python(pattern):
     return pattern.replace(r"\p{Nd}", r"\d").replace(r"\P{Nd}", r"\D")
 
@@ -134,3 +138,18 @@ def test_many_hits_and_long_junk(spark):
 
 def test_lengths_kept_beside_letters_that_grow_in_lower_case(spark):
     assert found(spark, "age", ["İİ 66 anni"]) == [[(3, 10, "66 anni")]]
+
+
+def test_one_pass_ahead_of_all_finders(spark):
+    """The characters the pass looks for are in each match, and texts with a match pass."""
+    texts = [t for _, t, _ in CASES] + ["no match here", "", None, "@", "٣"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found_dates = finders.find_dates("text", REFERENCE)
+    for names in (list(FINDERS), ["email"], ["age", "email"], []):
+        got = df.selectExpr("id", f"{finders.pattern_spans('text', names, REFERENCE)} AS spans").collect()
+        each = [found_dates if n == "date" else FINDERS[n][0]("text") for n in names]
+        want = df.selectExpr("id", *[f"size({e}) AS n{k}" for k, e in enumerate(each)]).collect()
+        assert [len(r.spans) for r in sorted(got)] == [sum(r[1:]) for r in sorted(want)]
+    for name, (_, pattern) in FINDERS.items():
+        needed = re.compile(f"[{python(P.NEEDED[name])}]")
+        assert all(needed.search(h[2]) for t in texts if t for h in expected(name, t))

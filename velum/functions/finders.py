@@ -135,6 +135,12 @@ def as_spans(hits: str, entity: str) -> str:
 
 
 def pattern_spans(text: str, entities: list[str], reference_date) -> str:
-    """Spans of the given entities in one array; duplicates are kept."""
+    """Spans of the given entities in one array; duplicates are kept.
+
+    Most texts have none of the characters that every match has one of. One pass tells,
+    before any finder looks at the text."""
+    if not entities:
+        return empty(SPAN)
     found = [as_spans(FINDERS[e](text, reference_date), e) for e in entities]
-    return f"concat({', '.join(found)})" if found else empty(SPAN)
+    needed = "".join(sorted({P.NEEDED[e] for e in entities}))
+    return f"CASE WHEN {matches(text, f'[{needed}]')} THEN concat({', '.join(found)}) ELSE {empty(SPAN)} END"

@@ -85,4 +85,15 @@ GATE_ZIP_CODE = "[0-9]{5}"
 GATE_DATE = DATE_SEPARATOR + _ANY_DIGIT
 GATE_AGE = "(?i)anni"
 
+# Members of the class of characters that each match has one of, for use between brackets.
+_DIGITS = f"0-9{DIGIT}"
+NEEDED = {
+    "telephone": _DIGITS,
+    "zipcode": _DIGITS,
+    "email": "@",
+    "fiscal_code": _DIGITS,
+    "date": _DIGITS,
+    "age": _DIGITS,
+}
+
 INLINE_TAG = r"<([^<>]*)>#*"

@@ -11,7 +11,9 @@ import pytest
 
 from velum.llm import near_dedup, repeated_windows, suffix_dedup
 from velum.llm.arrays import Words, within
-from velum.llm.decontaminate import Template, drop_contaminated, mark_contaminated
+from velum.llm.decontaminate import (
+    Template, contamination, drop_contaminated, mark_contaminated,
+)
 from velum.llm.near_dedup import (
     Rarity, Shingles, consistent_samples, keep_one, near_duplicates, shingle_sketch,
 )
@@ -121,6 +123,23 @@ def test_items_with_any_identifier(spark, kind, ids):
     assert drop_contaminated(docs, bench).select("doc_id").collect() == [(3,)]
 
 
+def test_documents_with_the_same_windows_meet_items_once(spark):
+    """A phrase that many items and documents share makes no row for each two of them."""
+    phrase = "in the old town by the river there is a market on every first day"
+    items = [f"{phrase} {'abcdefghijklmnopqrst'[k] * 3} ends here" for k in range(20)]
+    texts = [f"{'wxyz'[k % 4] * 2} {k} so {phrase} it goes" for k in range(200)]
+    texts += [f"so {items[3]} and {phrase} again", "nothing of it", items[5], items[5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    held, members = contamination(docs, bench)
+    assert members.count() == 203 and members.select("first").distinct().count() == 3
+    assert held.count() == 3 * 20
+    got = {r.doc_id: r for r in mark_contaminated(docs, bench).collect()}
+    assert {(r.n_items, r.item_id, r.n_windows, r.exact) for i, r in got.items() if i < 200} == {(20, 0, 4, True)}
+    assert [got[i].contaminated for i in (200, 201, 202)] == [True, False, True]
+    assert got[202].n_windows == got[203].n_windows > 4
+
+
 def test_contaminated_rows(spark, docs, rows, no_docs):
     passage = next(t for i, t, *_ in rows if i == 2)
     bench = spark.createDataFrame([(1, passage, 5), (None, "x", 6)], "item_id long, text string, doc_id long")

@@ -199,11 +199,12 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
     item_text: str = "text", item_id: str = "item_id", window: int = WINDOW,
     scratch: Scratch | None = None,
-) -> DataFrame:
-    """``row, item, item_id, n_windows, exact``: documents that hold (part of) an item, both
-    by the hash of identifier and text (``row``, ``item``), with the matching windows of
-    their best alignment and whether a window has the item's own values. Items may have
-    identifiers of any type, equal ones or none; equal items count as one.
+) -> tuple[DataFrame, DataFrame]:
+    """``first, item, item_id, n_windows, exact``: documents that hold (part of) an item, both
+    by the hash of identifier and text (``first``, ``item``), with the matching windows of
+    their best alignment and whether a window has the item's own values; and ``row, first``:
+    all documents with windows of items, and for each the one whose windows are the same.
+    Items may have identifiers of any type, equal ones or none; equal items count as one.
 
     An alignment counts if one of its windows is exact, in any case of letters, or if it
     has two templates, or the only one of the item with ``ALONE`` literal tokens, and all
@@ -221,7 +222,10 @@ def contamination(
     lengths = [r[0] for r in items.select("n").distinct().collect()]
     rows = docs.select(row_key(docs, text, doc_id).alias("row"), col(text).alias("text"))
     found = scratch.keep(document_windows(rows, _sieve(items), lengths), "windows")
-    met = found.distinct().alias("d").join(items.alias("b"), ["n", "h"])
+    # What passes the sieve by chance would tell documents apart.
+    found = found.join(items.select("n", "h").distinct(), ["n", "h"], "left_semi").distinct()
+    found, members = _alike(scratch.keep(found, "found"), scratch)
+    met = found.alias("d").join(items.alias("b"), ["n", "h"])
     met = scratch.keep(
         met.select(
             F.col("d.row").alias("row"), F.col("b.item").alias("item"), "item_id",
@@ -246,7 +250,7 @@ def contamination(
         F.some("alone").alias("alone"),
         F.some(F.isnull("theirs") | (F.col("ours") == F.col("theirs"))).alias("exact"),
     )
-    return (
+    held = (
         aligned.join(slots, list(key), "left")
         .filter("exact OR ((n_templates > 1 OR alone) AND coalesce(consistent, true))")
         .groupBy("row", "item")
@@ -256,6 +260,29 @@ def contamination(
             F.max("exact").alias("exact"),
         )
     )
+    return held.withColumnRenamed("row", "first"), members
+
+
+def _alike(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Windows of one document for each pattern, and ``row, first``: the documents with the
+    one that stands for them.
+
+    Documents with the same windows, slots and distances between them meet the same items in
+    the same way. So a phrase that many documents share meets the items that have it once,
+    however many these are."""
+    base = found.groupBy("row").agg(F.min("place").alias("base"))
+    # A hash passes over nulls and empty lists alike, so it is told which of them slots are.
+    window = ("n", "h", "slots", F.isnull("slots"), F.col("place") - F.col("base"))
+    marks = found.join(base, "row").select(
+        "row", F.xxhash64(*window).alias("a"), F.xxhash64(F.lit(1), *window).alias("b")
+    )
+    pattern = marks.groupBy("row").agg(
+        F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("c")
+    )
+    pattern = scratch.keep(pattern, "patterns")
+    first = pattern.groupBy("a", "b", "c").agg(F.min("row").alias("first"))
+    members = scratch.keep(pattern.join(first, ["a", "b", "c"]).select("row", "first"), "members")
+    return found.join(members.filter("row = first").select("row"), "row", "left_semi"), members
 
 
 def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"):
@@ -264,12 +291,14 @@ def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"):
 
 
 def _verdicts(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    return contamination(docs, benchmark, **columns).groupBy("row").agg(
+    held, members = contamination(docs, benchmark, **columns)
+    verdicts = held.groupBy("first").agg(
         F.count("*").alias("n_items"),
         F.min("item_id").alias("item_id"),
         F.max("n_windows").alias("n_windows"),
         F.max("exact").alias("exact"),
     )
+    return members.join(verdicts, "first").drop("first")
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **columns) -> DataFrame:

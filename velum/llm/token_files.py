@@ -19,7 +19,9 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,21 @@ def byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = byte_letters()
+ID = attrgetter("id")
+
+
+class Words(dict):
+    """Ids by word; a word not met before is encoded, and kept unless it is long: long words
+    seldom come back."""
+
+    def __init__(self, encode: Callable[[str], bytes], longest: int):
+        self.encode, self.longest = encode, longest
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= self.longest:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -78,7 +95,7 @@ class Encoder:
         self.added = ["  ", *filter(None, added)]
         self.model = self.tokenizer.model
         self.findall = regex.compile(self.PIECES).findall
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self._word, self.LONGEST)
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -91,7 +108,10 @@ class Encoder:
             shown = piece.replace(" ", BYTE_LETTERS[32])
         else:
             shown = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self._ids(shown)
+
+    def _ids(self, shown: str) -> bytes:
+        return array("I", map(ID, self.model.tokenize(shown))).tobytes()
 
     def _known(self, piece: str) -> bytes:
         """The ids of a piece, from the table or the library."""
@@ -102,41 +122,36 @@ class Encoder:
                 self.pieces[piece] = ids
         return ids
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        out, known, marks, findall = [], self._known, self.MARKS, self.findall
-        if len(self.pieces) > self.MOST_PIECES:
-            self.pieces.clear()
-        for text in texts:
-            # Letters with marks behind them, most words, need no regex; the letters of
-            # such a word are seldom in another one, so they go past the table.
-            bare = text.rstrip(marks)
-            if bare.removeprefix(" ").isalpha():
-                if len(bare) == len(text):
-                    out.append(self._piece(text))
-                else:
-                    out.append(known(bare) + known(text[len(bare) :]))
-            else:
-                out.append(b"".join(map(known, findall(text))))
-        return out
+    def _by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self._known, self.findall(text)))
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word behind a blank."""
+        # Letters with marks behind them, most words, need no regex; the letters of such a
+        # word are seldom in another one, so they go past the table.
+        bare = word.rstrip(self.MARKS)
+        if not bare.isalpha():
+            return self._by_pieces(" " + word)
+        if bare.isascii():
+            ids = self._ids(BYTE_LETTERS[32] + bare)
+        else:
+            ids = self._piece(" " + bare)
+        return ids if len(bare) == len(word) else ids + self._known(word[len(bare) :])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            if words:
-                seen.update(words[1:])
         if len(self.words) > self.MOST_WORDS:
             self.words.clear()
-        fresh = list(seen.difference(self.words))
-        self.words.update(zip(fresh, self._by_pieces([" " + w for w in fresh])))
-        first = iter(self._by_pieces([words[0] for words in split if words]))
+        if len(self.pieces) > self.MOST_PIECES:
+            self.pieces.clear()
+        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
         whole = iter(self.encode([t for t, words in zip(texts, split) if not words]))
-        get = self.words.__getitem__
-        out = [next(first) + b"".join(map(get, words[1:])) if words else next(whole) for words in split]
-        # Long words seldom come back.
-        for w in fresh:
-            if len(w) > self.LONGEST:
-                del self.words[w]
+        get, out = self.words.__getitem__, []
+        for words in split:
+            if words:
+                first = self._by_pieces(words[0])
+                out.append(first + b"".join(map(get, islice(words, 1, None))))
+            else:
+                out.append(next(whole))
         return out
 
 

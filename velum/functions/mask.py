@@ -64,10 +64,13 @@ def mask(
     def piece(start, end):
         first = f"cast(floor({start} / {BLOCK}) AS int)"
         last = f"cast(floor(({end} - 1) / {BLOCK}) AS int)"
-        around = f"array_join({section('blocks', first, last)}, '')"
+        around = (
+            f"CASE WHEN {first} = {last} THEN get(blocks, {first}) "
+            f"ELSE array_join({section('blocks', first, last)}, '') END"
+        )
         return (
             f"CASE WHEN {end} > {start} THEN "
-            f"substring({around}, {start} - {first} * {BLOCK} + 1, {end} - {start}) ELSE '' END"
+            f"substring(({around}), {start} - {first} * {BLOCK} + 1, {end} - {start}) ELSE '' END"
         )
 
     before = piece("(CASE WHEN i > 0 THEN get(kept_spans, i - 1).`end` ELSE 0 END)", "x.start")

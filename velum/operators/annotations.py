@@ -43,10 +43,10 @@ def inline_spans(text: str) -> str:
         find_all(text, INLINE_TAG),
         "0",
         years_after,
-        lambda years, item: f"array(named_struct("
+        lambda years, item, _: f"named_struct("
         f"'start', {item}.start - {YEAR_EXCESS} * {years}, "
         f"'end', {item}.`end` - {YEAR_EXCESS} * ({years_after(years, item)}), "
-        f"'entity_type', {kind(item)}))",
+        f"'entity_type', {kind(item)})",
         TAGGED,
     )
 
@@ -106,23 +106,19 @@ def body_tokens(text: str, sep: str = " ") -> str:
 
 def _tokens(segment: str, sep: str) -> str:
     lines = rf"split(regexp_replace({segment}, r'\n\z', ''), r'\n', -1)"
-    fields = (
-        f"transform(transform({lines}, line -> split(line, '{sep}', -1)), "
-        "(p, i) -> named_struct('pos', i, 'word', get(p, 0), 'tag', get(p, 1)))"
-    )
     placed = running(
-        fields,
+        f"transform({lines}, line -> split(line, '{sep}', -1))",
         "0",
-        lambda at, t: f"{at} + length({t}.word) + 1",
-        lambda at, t: f"array(named_struct('pos', {t}.pos, 'word', {t}.word, 'tag', {t}.tag, "
-        f"'start', {at}, 'end', {at} + length({t}.word)))",
+        lambda at, t: f"{at} + length(get({t}, 0)) + 1",
+        lambda at, t, i: f"named_struct('pos', {i}, 'word', get({t}, 0), 'tag', get({t}, 1), "
+        f"'start', {at}, 'end', {at} + length(get({t}, 0)))",
         TOKEN,
     )
     return f"CASE WHEN {segment} = '' THEN {empty(TOKEN)} ELSE {placed} END"
 
 
 def sentence_text(tokens: str) -> str:
-    return f"array_join(transform({tokens}, t -> t.word), ' ')"
+    return f"array_join({tokens}.word, ' ')"
 
 
 def labelled(tokens: str) -> str:
@@ -154,8 +150,8 @@ def bio_runs(labels: str, keep: tuple[str, ...] = BIO_KEEP) -> str:
     """Gold spans of labelled tokens: a ``B-`` token and the ``I-`` tokens of its type
     that follow it without a gap. ``I-`` tokens without a ``B-`` vanish.
 
-    The tokens are walked backwards, with the run of ``I-`` tokens that starts next
-    as the state."""
+    Each token that does not go on from the one before it ends what came before; a run
+    is a ``B-`` token and what comes ahead of the next such place."""
 
     def label(t):
         return f"try_element_at({literal_map(BIO_LABEL)}, {t}.tag)"
@@ -163,24 +159,23 @@ def bio_runs(labels: str, keep: tuple[str, ...] = BIO_KEEP) -> str:
     def kind(t):
         return f"get(split({t}.tag, '-'), 1)"
 
-    def run_end(run, t):
-        follows = f"{run}.start = {t}.`end` + 1 AND {run}.kind = {kind(t)}"
-        return f"CASE WHEN {follows} THEN {run}.`end` ELSE {t}.`end` END"
-
-    def advance(run, t):
-        grown = f"named_struct('start', {t}.start, 'end', {run_end(run, t)}, 'kind', {kind(t)})"
-        return f"CASE WHEN {label(t)} IS NOT NULL THEN {run} ELSE {grown} END"
-
-    def emit(run, t):
-        span = (
-            f"named_struct('start', {t}.start, 'end', {run_end(run, t)}, 'rank', 0, 'seq', 0, "
-            f"'bio_label', {t}.tag, 'entity_type', {label(t)})"
-        )
-        return f"filter(array({span}), g -> g.entity_type IS NOT NULL)"
-
     kept = f"filter({labels}, t -> t.tag IN ({', '.join(map(literal, keep))}))"
-    nothing = "cast(NULL AS struct<start:int,end:int,kind:string>)"
-    return f"array_sort({running(f'reverse({kept})', nothing, advance, emit, GOLD)})"
+    token, before = "get(kept, j)", "get(kept, j - 1)"
+    goes_on = (
+        f"j > 0 AND {label(token)} IS NULL AND {token}.start = {before}.`end` + 1 "
+        f"AND {kind(token)} = {kind(before)}"
+    )
+    first = f"filter(sequence(0, size(kept) - 1), j -> NOT coalesce({goes_on}, false))"
+    end = "get(kept, coalesce(get(firsts, k + 1), size(kept)) - 1).`end`"
+    span = (
+        f"named_struct('start', {token}.start, 'end', {end}, 'rank', 0, 'seq', 0, "
+        f"'bio_label', {token}.tag, 'entity_type', {label(token)})"
+    )
+    runs = let("firsts", first, f"transform(firsts, (j, k) -> {span})")
+    spans = f"filter({runs}, g -> g.entity_type IS NOT NULL)"
+    return let(
+        "kept", kept, f"CASE WHEN size(kept) > 0 THEN sort_array({spans}) ELSE {empty(GOLD)} END"
+    )
 
 
 def annotation_mask(text: str, gold: str) -> str:

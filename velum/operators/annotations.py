@@ -14,6 +14,7 @@ from velum.functions.mask import mask
 from velum.functions.patterns import INLINE_TAG
 from velum.functions.resolve import resolve
 from velum.labels import BIO_KEEP, BIO_LABEL, CORPUS_FOOTER, CORPUS_HEADER, CORPUS_MARKER
+from velum.operators.tokens import record_lists, token_lists
 
 TAGGED = "struct<start:int,end:int,entity_type:string>"
 TOKEN = "struct<pos:int,word:string,tag:string,start:int,end:int>"
@@ -81,13 +82,18 @@ def wrapped(chunk: str) -> str:
     return f"concat({literal(CORPUS_HEADER)}, {chunk}, {literal(CORPUS_FOOTER)})"
 
 
+def _checked(sep: str) -> str:
+    if sep not in SEPARATORS:
+        raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
+    return sep
+
+
 def sentences(text: str, sep: str = " ") -> str:
     """Sentences of a token/BIO text, each an array of tokens with offsets in the
     sentence text, which is its words joined by blanks.
 
     A blank line ends a sentence; what follows the last one is not a sentence."""
-    if sep not in SEPARATORS:
-        raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
+    _checked(sep)
     segments = rf"split({text}, r'(?<![^\n])\n', -1)"
     complete = f"transform(array({segments}), s -> slice(s, 1, size(s) - 1))[0]"
     return f"transform({complete}, segment -> {_tokens('segment', sep)})"
@@ -96,8 +102,7 @@ def sentences(text: str, sep: str = " ") -> str:
 def body_tokens(text: str, sep: str = " ") -> str:
     """Tokens of what stands between the first and the last blank line of a text, all as
     one sentence; NULL if there is no such part."""
-    if sep not in SEPARATORS:
-        raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
+    _checked(sep)
     body = rf"regexp_extract({text}, r'(?s)^.*?\n\n(.*)\n\n', 1)"
     lines = rf"regexp_replace(regexp_replace({body}, r'\n{{2,}}', '\n'), r'\A\n', '')"
     tokens = let("body", lines, _tokens("body", sep))
@@ -128,22 +133,14 @@ def labelled(tokens: str) -> str:
 
 def token_rows(documents: DataFrame, sep: str = " ") -> DataFrame:
     """One row per token: ``doc_id, sent_id, pos, word, tag, start, end``."""
-    return documents.selectExpr(
-        "doc_id", f"posexplode({sentences('text', sep)}) AS (sent_id, tokens)"
+    return documents.select("doc_id", token_lists("text", _checked(sep)).alias("sents")).selectExpr(
+        "doc_id", "posexplode(array_compact(sents)) AS (sent_id, tokens)"
     ).selectExpr("doc_id", "sent_id", rows("tokens"))
 
 
 def sentence_records(documents: DataFrame, sep: str = " ") -> DataFrame:
     """One row per document with its records: sentence text and labelled tokens."""
-    labels = (
-        f"transform({labelled('s')}, "
-        "t -> named_struct('start', t.start, 'end', t.`end`, 'tag', t.tag))"
-    )
-    return documents.selectExpr("doc_id", f"{sentences('text', sep)} AS sents").selectExpr(
-        "doc_id",
-        f"transform(sents, s -> named_struct('text', {sentence_text('s')}, 'labels', {labels})) "
-        "AS records",
-    )
+    return documents.select("doc_id", record_lists("text", _checked(sep)).alias("records"))
 
 
 def bio_runs(labels: str, keep: tuple[str, ...] = BIO_KEEP) -> str:

@@ -6,15 +6,8 @@ from pyspark.sql import DataFrame
 
 from velum.functions.arrays import rows
 from velum.labels import BIO_KEEP, CORPUS_MARKER
-from velum.operators.annotations import (
-    MIN_CHUNK,
-    annotation_mask,
-    bio_runs,
-    body_tokens,
-    labelled,
-    sentence_text,
-    split_corpus,
-)
+from velum.operators.annotations import MIN_CHUNK, SEPARATORS, annotation_mask, split_corpus
+from velum.operators.tokens import corpus_bodies
 
 
 def gold_corpus(
@@ -26,14 +19,11 @@ def gold_corpus(
     """``keys, text, gold, masked_text`` of token/BIO documents. The text is the whole
     body between the dummy first and last sentence; blank lines in it do not count. A
     document without the two gives a row with null texts and no spans."""
-    nothing = "cast(NULL AS string)"
+    if sep not in SEPARATORS:
+        raise ValueError(f"token separator must be one of {SEPARATORS}, not {sep!r}")
     return (
-        documents.selectExpr(*keys, f"{body_tokens('text', sep)} AS tokens")
-        .selectExpr(
-            *keys,
-            f"CASE WHEN tokens IS NULL THEN {nothing} ELSE {sentence_text('tokens')} END AS text",
-            f"{bio_runs(labelled('coalesce(tokens, array())'), keep)} AS gold",
-        )
+        documents.select(*keys, corpus_bodies("text", sep, tuple(keep)).alias("body"))
+        .select(*keys, "body.text", "body.gold")
         .selectExpr(*keys, "text", "gold", f"{annotation_mask('text', 'gold')} AS masked_text")
     )
 

@@ -9,6 +9,7 @@ from velum.labels import BIO_KEEP
 from velum.operators import annotations as A
 from velum.operators import tokens
 from velum.plans.gold import gold_corpus
+from velum.sources import files
 
 LINES = ["", "", "a O", "bè B-DOCTOR", "c I-DOCTOR", "d", "e  I-DOCTOR", " B-CITY", "f B-DATE x", "g I -DATE",
          "𝒽 I-HOSPITAL", "i B-HOSPITAL", "j X", "k ", "l -", "m B-AGE", "n O-", "tab\tB-CITY"]
@@ -62,3 +63,17 @@ def test_no_fold_over_tokens(spark):
     for out in (A.sentence_records(df), A.token_rows(df), gold_corpus(df).select("text", "gold")):
         assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()
     assert gold_corpus(df).select(F.size("gold")).count() == df.count()
+
+
+def test_label_json(spark):
+    """Plain tags are written as they are, others escaped; missing parts are left out."""
+    tags = ["B-CITY", 'q"', "b\\", "n\n", "\n", "", "è", "~ [x]/'", None, "\t"]
+    records = [("t", [(i, i + 1, t) for i, t in enumerate(tags)] + [(None, 3, "X"), (3, None, None)])]
+    df = spark.createDataFrame([(records,)], f"r {tokens.RECORDS}").selectExpr("r[0] AS r")
+    for fmt, e in (("json", "è"), ("jsonl", "\\u00E8")):
+        names = ['"B-CITY"', '"q\\""', '"b\\\\"', '"n\\n"', '"\\n"', '""', f'"{e}"', '"~ [x]/\'"', "null", '"\\t"']
+        want = [f"[{i}, {i + 2}, {n}]" for i, n in enumerate(names)] + ['[4, "X"]', "[3, null]"]
+        got = df.select(files.record_json(F.col("r"), fmt)).first()[0]
+        assert got == f'{{"text": "t", "labels": [{", ".join(want)}]}}'
+    plan = df.select(files.record_json(F.col("r"), "json"))._jdf.queryExecution().optimizedPlan()
+    assert "RLIKE" in plan.toString()

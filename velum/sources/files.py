@@ -43,7 +43,8 @@ RECORDS = "array<struct<text:string,labels:array<array<string>>>>"
 #: Splits whose numbers are kept in every task of ``read_raw_corpora`` (some 50 bytes each).
 MOST_SPLITS = 2_000_000
 RECORD_FORMATS = ("json", "jsonl")
-
+# Texts that JSON writes as they are, between quotes.
+PLAIN = r"\A[ !#-\[\]-~]*\z"
 
 
 def _decoded(name: Column) -> Column:
@@ -237,12 +238,14 @@ def record_json(record: Column, fmt: str) -> Column:
         as_array = F.to_json(F.array(value), options)
         return F.substring(as_array, F.lit(2), F.length(as_array) - 2)
 
-    labels = F.transform(
-        record["labels"],
-        lambda x: F.concat(
-            F.lit("["), F.concat_ws(", ", x["start"], x["end"] + 1, quoted(x["tag"])), F.lit("]")
-        ),
-    )
+    def label(x):
+        # Most tags need no escapes, and most labels have all three parts.
+        tag = F.when(x["tag"].rlike(PLAIN), F.concat(F.lit('"'), x["tag"], F.lit('"')))
+        parts = (x["start"], x["end"] + 1, F.coalesce(tag, quoted(x["tag"])))
+        whole = F.concat(F.lit("["), parts[0], F.lit(", "), parts[1], F.lit(", "), parts[2], F.lit("]"))
+        return F.coalesce(whole, F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")))
+
+    labels = F.transform(record["labels"], label)
     return F.concat(
         F.lit('{"text": '),
         quoted(record["text"]),

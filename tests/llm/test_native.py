@@ -140,7 +140,8 @@ def test_one_key_splits_too(spark):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(ORACLE[name])
     got = QUERIES[name](spark, sf)
     columns = [d[0] for d in want.description]

@@ -30,3 +30,12 @@ def test_letters_without_lambdas(spark, tmp_path):
         ["NAME", "DATE", "LOC", "AGE", "TEL", "CF", "ZIP", "DATE"]
     )
     assert all(r.start is None for r in gold.filter("doc_id = 'l2' AND entity_type = 'LOC'").collect())
+
+
+def test_letters_are_the_values_of_their_pieces(spark):
+    """The text is made without the array of pieces, which takes longer than all else."""
+    sf_dir = "/root/testdata/sf0.001"
+    made = I.letters(spark, sf_dir)
+    joined = I._pieces(spark, sf_dir).selectExpr("doc_id", "array_join(pieces.value, '') AS text")
+    assert sorted(made.collect()) == sorted(joined.collect())
+    assert "array" not in made._jdf.queryExecution().executedPlan().toString()

@@ -107,7 +107,7 @@ def test_classes_of_both_engines(spark):
 
 
 def test_masks_without_interpreted_functions(spark):
-    """Higher-order functions are not compiled and took nine tenths of the time."""
+    """Finders and masks are not higher-order functions, which Spark does not compile."""
     df = spark.createDataFrame([("a", "il 1/2/2020")], "doc_id string, text string")
     cfg = config(mode="anon_l", date_level="year")
     for out in (velum.deidentify(df, cfg, merge=True), velum.find_spans(df, cfg, merge=True)):

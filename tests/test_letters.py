@@ -33,7 +33,7 @@ def test_letters_without_lambdas(spark, tmp_path):
 
 
 def test_letters_are_the_values_of_their_pieces(spark, tmp_path):
-    """The text is made without the array of pieces, which takes longer than all else."""
+    """The text is made without the array of pieces."""
     orders = [(k, k % 3, dt.date(1995, 1 + k % 12, 9) if k % 4 else None) for k in range(300)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(
         f"{tmp_path}/orders.parquet"

@@ -131,6 +131,36 @@ def test_one_document_over_many_tasks(spark):
     assert [tuple(r) for r in first] == [s for s in want if s[0] < 200_000]
 
 
+def test_spans_are_moved_once(spark):
+    """Only the exchange by tile has texts of spans; what else is moved is places."""
+    table = spark.createDataFrame(
+        [("a", *span(0, 3)), ("a", *span(0, 3)), ("b", *span(5, 9)), (None, *span(1, 2))],
+        "doc_id string, " + SPAN[7:-1].replace(":", " "),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve_spans(table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.select("doc_id", "start", "end").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(moved) == 3
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("a", 0, 3), ("b", 5, 9), (None, 1, 2)]))
+
+
+def test_equal_spans_combine_ahead_of_the_shuffle(spark):
+    """A start that has no end hides the others at its start, as it did."""
+    table = spark.range(40_000).selectExpr(
+        "'a' AS doc_id", "0 AS start", "CASE WHEN id = 7 THEN NULL ELSE cast(3 + id % 5 AS int) END AS end",
+        "0 AS rank", "0 AS seq", "'X' AS entity_type", "'' AS text", "'regex' AS model",
+    )
+    assert resolve_spans(table).count() == 0
+    assert [tuple(r)[1:3] for r in resolve_spans(table.filter("end IS NOT NULL")).collect()] == [(0, 3)]
+
+
 @pytest.mark.parametrize("mode", MASKED)
 def test_masks(spark, mode):
     df = spark.createDataFrame([("a", TEXT), ("b", "niente"), ("c", "")], "doc_id string, text string")
